@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Python step; a batch from Spark is cut to this, so that lists of long texts stay small.
 STEP = 256
@@ -23,15 +24,22 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def map_rows(df: DataFrame, rows: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bound what goes to Python at once by bytes, unless the session says how: texts may be very long."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "8m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
+
+
+def map_rows(df: DataFrame, rows: Callable[[list], Iterable[tuple]], schema: str | StructType) -> DataFrame:
     """Apply ``rows`` to lists of up to STEP input rows, each row a tuple of its columns; it yields output tuples.
 
     Nothing is kept between lists, so memory is bounded by STEP rows whatever the size of a partition.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -45,6 +53,11 @@ def map_rows(df: DataFrame, rows: Callable[[list], Iterable[tuple]], schema: str
     return df.mapInArrow(run, schema)
 
 
+def text_key(name: str = "text") -> Column:
+    """16 bytes that stand for a text (null: empty): half of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text_of(name), 256), 1, 32))
+
+
 def input_rows(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()
 
