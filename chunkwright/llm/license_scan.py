@@ -150,7 +150,7 @@ def license_scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFram
     if licenses is None or known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     rows = docs.select("doc_id", canonical_lines(common.text_of()).alias(f"{own}lines"))
-    lines = F.transform(F.split(f"{own}lines", "\n"), F.trim)
+    lines = F.transform(F.split(f"{own}lines", "\n"), lambda x: F.trim(x))
     rows = rows.select("doc_id", F.sha2(whole(F.col(f"{own}lines")), 256).alias("text_digest"), F.filter(lines, lambda x: x != "").alias(f"{own}lines"))
     if licenses is None:
         names = catalogue()

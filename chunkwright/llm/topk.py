@@ -96,7 +96,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     blocks = 1 + common.input_rows(candidates) // CANDIDATES, 1 + common.input_rows(queries) // QUERIES
     vector = F.col("v").cast("array<double>")
     left = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[0])).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("q"), F.lit(False).alias("asks"), "vec_id", vector.alias("v"))
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).cast("long").alias("c"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[1])).cast("int").alias("q"), F.lit(True).alias("asks"), "vec_id", vector.alias("v"))
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[0] - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[1])).cast("int").alias("q"), F.lit(True).alias("asks"), "vec_id", vector.alias("v"))
     cells = left.unionByName(right).groupBy("c", "q")
 
     def run(cell: pa.Table) -> pa.Table:
