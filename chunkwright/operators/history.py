@@ -5,46 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Recursion in SQL costs a job a step; longer chains are walked by doubling.
-STEPS = 90
-
-
 def log(commits: DataFrame, head: str | None, stop: str | None = None, most: int | None = None) -> DataFrame:
     """``id``, ``parent``, ``depth`` from ``head`` back, to a commit that is missing, one that was met before, or ``stop`` (not with it).
 
-    Chains of up to STEPS commits are one recursive query; longer ones go on by doubling, see ``walk``.
+    A recursive query would cost a job a step; here the reach doubles, see ``walk``.
     """
-    spark = commits.sparkSession
-    if head is None:
-        return spark.createDataFrame([], "id string, parent string, depth int")
-    return _recursive(commits, head, stop, most) if most is not None and most <= STEPS else walk(commits, head, stop, most)
-
-
-def _recursive(commits: DataFrame, head: str, stop: str | None, most: int) -> DataFrame:
-    return commits.sparkSession.sql(
-        """WITH RECURSIVE chain MAX RECURSION LEVEL 100 AS (
-          SELECT id, parent, 0 AS depth, array(id) AS met FROM {commits} WHERE id = {head} AND id <> {stop}
-          UNION ALL
-          SELECT c.id, c.parent, depth + 1, concat(met, array(c.id)) FROM chain JOIN {commits} c ON c.id = chain.parent
-          WHERE depth + 1 < {most} AND NOT array_contains(met, c.id) AND c.id <> {stop})
-        SELECT id, parent, depth FROM chain""",
-        commits=commits.select("id", "parent"), head=head, stop=stop or "", most=most,  # no id is empty
-    )
+    return empty_chain(commits.sparkSession) if head is None else walk(commits, head, stop, most)
 
 
 def walk(commits: DataFrame, head: str, stop: str | None = None, most: int | None = None) -> DataFrame:
-    """The same for chains of any length: the (id, parent) pairs double their reach until the chain's end is found.
+    """``log`` for chains of any length: the (id, parent) pairs double their reach until the chain's end is found.
 
     After k rounds a row of ``jump`` leads 2^k commits back; rows on the chain are found from those known by one join a round, so
     that a million commits take 20 rounds. A chain that comes back to itself ends with the first commit met again.
     """
+    from ..sources.shared import cut_lineage
+
     jump = commits.select("id", "parent").dropDuplicates(["id"])
-    if stop is not None:
-        jump = jump.where(F.col("id") != stop)
+    jump = cut_lineage(jump if stop is None else jump.where(F.col("id") != stop))
     found = jump.where(F.col("id") == head).select("id", F.lit(0).cast("long").alias("depth"))
     hops, reach, met = jump.select("id", F.col("parent").alias("to")), 1, 0
-    from ..sources.shared import cut_lineage
-
     while True:
         ahead = found.join(hops, "id").where(F.col("to").isNotNull()).select(F.col("to").alias("id"), (F.col("depth") + reach).alias("depth"))
         ahead = ahead.join(jump.select("id"), "id", "left_semi")

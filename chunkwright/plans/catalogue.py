@@ -438,7 +438,7 @@ def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(COMMITS + "SELECT id, parent, depth FROM chain WHERE depth < 5", "")
 def commits_until(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the head to a known commit, which isn't given; a limit keeps it one recursive query."""
+    """From the head to a known commit, which is left out."""
     return history.log(_commits(spark, sf_dir), _head(spark, sf_dir), stop=_head(spark, sf_dir, 5), most=32)
 
 
