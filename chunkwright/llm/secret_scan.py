@@ -35,6 +35,7 @@ MAX_RATIO = 2.1
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
+    r"|(?:md5|sha1|sha224|sha256|sha384|sha512)-[A-Za-z0-9+/_-]+={0,2}"
     r"|[0-9+/_=-]+"
     r"|/?(?:[A-Za-z]+[/_-])+[A-Za-z]*"
 )
