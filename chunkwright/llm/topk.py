@@ -38,7 +38,7 @@ def whole_numbers(embeddings: DataFrame, scale: int = 64) -> DataFrame:
 
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (query id, candidates' ids, scores) of its k best by (score descending, id ascending)."""
-    if not len(ids):
+    if not len(ids) or not len(query_ids):
         return
     exact = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) <= EXACT
     if not exact:  # plain integers of any size
