@@ -112,9 +112,10 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows outside the held-out fold: about ``sample`` of each language, taken by a hash of the text.
+    """Learn from labelled texts outside the held-out fold: about ``sample`` of each language at most, taken by a hash of the text.
 
-    The driver gets one feature vector for each sampled row, so what it holds is bounded by the number of languages.
+    Copies count once, so the driver gets one feature vector for each sampled text, and what it holds is bounded by the
+    number of languages.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -129,7 +130,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             if x is not None:
                 yield lang, x.astype(np.float32).tobytes()
 
-    got = common.map_rows(labelled.where(rank < share[F.col("lang")]), rows, "lang string, x binary").collect()
+    taken = labelled.where(rank < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    got = common.map_rows(taken, rows, "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
         return Model((), np.zeros((0, FEATURES + 1)), {})
