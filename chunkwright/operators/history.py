@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHAIN = "id string, parent string, depth int"
+#: Up to so many commits (about 30 MB of ids) are taken to the driver.
+SMALL = 200_000
+
+
 def log(commits: DataFrame, head: str | None, stop: str | None = None, most: int | None = None) -> DataFrame:
     """``id``, ``parent``, ``depth`` from ``head`` back, to a commit that is missing, one that was met before, or ``stop`` (not with it).
 
-    A recursive query would cost a job a step; here the reach doubles, see ``walk``.
+    A recursive query would cost a job a step. Up to SMALL commits are walked on the driver, which gets two ids for each; of more
+    the reach doubles, see ``walk``.
     """
-    return empty_chain(commits.sparkSession) if head is None else walk(commits, head, stop, most)
+    spark = commits.sparkSession
+    if head is None:
+        return empty_chain(spark)
+    pairs = commits.select("id", "parent").limit(SMALL + 1).collect()
+    if len(pairs) > SMALL:
+        return walk(commits, head, stop, most)
+    parent, chain, met = {r["id"]: r["parent"] for r in pairs}, [], set()
+    now = head
+    while now in parent and now not in met and now != stop and len(chain) < (SMALL if most is None else most):
+        met.add(now)
+        chain.append((now, parent[now], len(chain)))
+        now = parent[now]
+    return spark.createDataFrame(chain, CHAIN)
 
 
 def walk(commits: DataFrame, head: str, stop: str | None = None, most: int | None = None) -> DataFrame:
@@ -60,4 +78,4 @@ def first_missing(remote: DataFrame, local: DataFrame, head: str, most: int | No
 
 
 def empty_chain(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "id string, parent string, depth int")
+    return spark.createDataFrame([], CHAIN)

@@ -622,3 +622,54 @@ def lock_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = streaming.stream(spark, f"{sf_dir}/documents.parquet").select(tables.doc_path().alias("path"), "text")
     return streaming.new_chunks(texts, shared_folder(spark)).select("id", "raw_len")
+
+
+# What is left of the scalars and small aggregates
+
+
+@query("""SELECT path, 'x/' || path AS below, CASE WHEN doc_id % 2 = 0 THEN path END AS head, doc_id % 3 = 0 AS is_head, CASE WHEN doc_id % 5 = 0 THEN 't' || doc_id END AS token, printf('%08d.seg', doc_id) AS segment,
+CAST(greatest(doc_id * 1000 - 5000, 0) AS BIGINT) AS seconds FROM blobs""")
+def file_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below a root with slashes turned, trimmed heads, the head's alias, bearer tokens, segment names and times in seconds."""
+    path, n = F.col("path"), F.col("doc_id")
+    return blobs(spark, sf_dir).select(
+        "path",
+        fn.relative(F.concat(F.lit("\\srv\\work\\x\\"), F.translate(path, "/", "\\")), "/srv/work/").alias("below"),
+        fn.nonblank(F.when(n % 2 == 0, F.concat(F.lit(" "), path, F.lit(" "))).otherwise("  ")).alias("head"),
+        fn.is_head(F.when(n % 3 == 0, "HeAd").otherwise(path)).alias("is_head"),
+        fn.bearer(F.concat(F.when(n % 5 == 0, "Bearer ").otherwise("Basic "), F.lit("t"), n.cast("string"))).alias("token"),
+        fn.segment_name(n).alias("segment"),
+        fn.modified_seconds(F.timestamp_seconds(n * 1000 - 5000)).alias("seconds"),
+    )
+
+
+@query(COMMITS + "SELECT id, parent, TRUE AS files_omitted FROM commits", "")
+def commit_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits as they are kept of history: without their files."""
+    rows = _commits(spark, sf_dir).withColumn("files", F.array(F.lit("a"))).withColumn("files_omitted", F.lit(False))
+    return sync.metadata_only(rows)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS commits, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS metadata_only, CAST(count(*) FILTER (o_orderstatus <> 'O') AS BIGINT) AS complete FROM orders", "")
+def commit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "O").alias("files_omitted"))
+    return rows.agg(F.count("*").alias("commits"), F.count_if("files_omitted").alias("metadata_only"), F.count_if(~F.col("files_omitted")).alias("complete"))
+
+
+@query("SELECT CAST(max(p_size) AS BIGINT) AS segment_id FROM part", "")
+def last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.last_segment(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("segment_id")))
+
+
+@query("SELECT path, size FROM blobs WHERE path LIKE 'en/%' AND size <= 3000")
+def remote_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A remote's files in view that are small enough to come at once."""
+    return sync.visible_manifest(blobs(spark, sf_dir), ("en/...",), ()).where("size <= 3000").select("path", "size")
+
+
+@query(LINES + "SELECT path, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(len) AS BIGINT) AS raw_len, string_agg(substr(id, 1, 4), '' ORDER BY ordinal) AS marks FROM lines GROUP BY path")
+def chunk_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's references in order, as a commit keeps them."""
+    refs = chunking.refs(chunking.line_chunks(blobs(spark, sf_dir)))
+    total = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + c["raw_len"])
+    return refs.select("path", F.size("chunks").cast("long").alias("n_chunks"), total.alias("raw_len"), F.array_join(F.transform("chunks", lambda c: F.substring(c["id"], 1, 4)), "").alias("marks"))

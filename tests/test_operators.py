@@ -82,7 +82,9 @@ def chain(spark, n: int, extra=()):
     return spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(n)] + list(extra), "id string, parent string")
 
 
-def test_history(spark) -> None:
+@pytest.mark.parametrize("small", [200_000, 10])
+def test_history(spark, monkeypatch, small) -> None:
+    monkeypatch.setattr(history, "SMALL", small)
     commits = chain(spark, 150)
     assert [r["id"] for r in history.log(commits, "149").orderBy("depth").collect()] == [str(i) for i in reversed(range(150))]
     assert [r["id"] for r in history.log(commits, "9", stop="6").orderBy("depth").collect()] == ["9", "8", "7"]
@@ -94,7 +96,9 @@ def test_history(spark) -> None:
     assert history.is_ancestor(commits.where("id <> '5'"), "3", "9").first()[0] == "unknown"
 
 
-def test_history_cycle(spark) -> None:
+@pytest.mark.parametrize("small", [200_000, 1])
+def test_history_cycle(spark, monkeypatch, small) -> None:
+    monkeypatch.setattr(history, "SMALL", small)
     commits = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "id string, parent string")
     assert sorted(r["id"] for r in history.log(commits, "a").collect()) == ["a", "b", "c"]
 
