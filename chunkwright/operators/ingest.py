@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +64,29 @@ def trace(routes: DataFrame) -> DataFrame:
     """One row: how many files went each way, and how many were new."""
     counts = [F.count_if(F.col("way") == w).alias(w) for w in WAYS]
     return routes.agg(F.count("*").alias("files"), *counts, F.count_if(F.col("way").isin(SMALL, CHUNKED, BOUNDARIES)).alias("new_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def commit_ids(files: DataFrame) -> DataFrame:
+    """``commit``, ``id`` of commits given by their files (``commit``, ``parent``, ``message``, ``timestamp``, ``path``, ``file_digest``, ``size``).
+
+    It is the digest of ``functions.commit_id``, but the files, sorted, pass through a task as a stream, so a commit may have any number of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if digest is None or row["commit"] != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()))
+                    now = row["commit"]
+                    digest = hashlib.sha256(f"{'root' if row['parent'] is None else row['parent']}{row['message']}{row['timestamp']}".encode())
+                digest.update(f"{row['path']}{row['file_digest']}{row['size']}".encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["commit", "id"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([digest.hexdigest()], pa.string())], ["commit", "id"])
+
+    rows = files.select("commit", "parent", "message", "timestamp", "path", "file_digest", "size")
+    return rows.repartition("commit").sortWithinPartitions("commit", "path").mapInArrow(run, "commit string, id string")

@@ -460,10 +460,9 @@ def first_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT source, sha256(coalesce(CASE WHEN source = 'src1' THEN NULL ELSE 'src1' END, 'root') || 'message ' || source || '1700000000' || string_agg(path || sha256(text) || size, '' ORDER BY path)) AS commit_id FROM blobs GROUP BY source""")
 def commit_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = blobs(spark, sf_dir).select("source", "path", F.sha2("text", 256).alias("file_digest"), "size")
-    rows = files.groupBy("source").agg(F.collect_list(F.struct("path", "file_digest", "size")).alias("files"))
     parent = F.when(F.col("source") != "src1", F.lit("src1"))
-    return rows.select("source", fn.commit_id(parent, F.concat(F.lit("message "), "source"), F.lit(1700000000), F.col("files")).alias("commit_id"))
+    files = blobs(spark, sf_dir).select(F.col("source").alias("commit"), parent.alias("parent"), F.concat(F.lit("message "), "source").alias("message"), F.lit(1700000000).alias("timestamp"), "path", F.sha2("text", 256).alias("file_digest"), "size")
+    return ingest.commit_ids(files).select(F.col("commit").alias("source"), F.col("id").alias("commit_id"))
 
 
 # Sync

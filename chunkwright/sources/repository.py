@@ -205,8 +205,8 @@ class Repository:
         if staged.isEmpty():
             raise RepositoryError("nothing is staged")
         timestamp, parent = int(time.time()) if timestamp is None else timestamp, self.head
-        one = staged.agg(F.collect_list(F.struct("path", "file_digest", "size")).alias("files"))
-        commit = one.select(fn.commit_id(F.lit(parent).cast("string"), F.lit(message), F.lit(timestamp), F.col("files"))).first()[0]
+        named = staged.select(F.lit("").alias("commit"), F.lit(parent).cast("string").alias("parent"), F.lit(message).alias("message"), F.lit(timestamp).alias("timestamp"), "path", "file_digest", "size")
+        commit = ingest.commit_ids(named).first()["id"]
         self._append("commit_files", staged.select(F.lit(commit).alias("commit_id"), *staged.columns))
         self._append("commits", self.spark.createDataFrame([(commit, parent, author, message, timestamp, False, 1)], schemas.COMMITS))
         self.set_head(commit, parent)

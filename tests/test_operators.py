@@ -153,6 +153,8 @@ def test_commit_id_leaves_the_author_out(spark) -> None:
     files = spark.createDataFrame([([("b", "d2", 2), ("a", "d1", 1)],)], "files array<struct<path:string,file_digest:string,size:bigint>>")
     got = files.select(fn.commit_id(F.lit(None).cast("string"), F.lit("m"), F.lit(7), F.col("files"))).first()[0]
     assert got == hashlib.sha256(b"rootm7ad11bd22").hexdigest()
+    rows = spark.createDataFrame([("c", None, "m", 7, "b", "d2", 2), ("c", None, "m", 7, "a", "d1", 1), ("d", "c", "n", 8, "a", "d1", 1)], "commit string, parent string, message string, timestamp long, path string, file_digest string, size long")
+    assert {r["commit"]: r["id"] for r in ingest.commit_ids(rows).collect()} == {"c": got, "d": hashlib.sha256(b"cn8ad11").hexdigest()}
 
 
 def test_boundary_reuse_and_same_content(spark) -> None:
