@@ -22,8 +22,8 @@ from . import common
 
 LENGTH = 4096
 END_ID = 1
-#: Open bins in each packing task.
-OPEN_BINS = 4096
+#: Open bins in each packing task. Pieces come largest first, so it takes about as many as there are large pieces.
+OPEN_BINS = 32_768
 #: Pieces for one packing task: about a second of work and 20 MB.
 PIECES_A_TASK = 100_000
 
@@ -150,8 +150,8 @@ class BestFit:
 def pack(rows: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
     """Place pieces (of ``PIECES``) into sequences; each of ``tasks`` tasks fills sequences of its own.
 
-    Pieces are dealt and ordered by a hash, so that each task sees a like mix of sizes whatever the order of
-    the input. A task's number is the upper part of its sequences' ids.
+    Pieces are dealt by a hash, so that each task sees a like mix of sizes whatever the order of the input, and come largest
+    first. A task's number is the upper part of its sequences' ids.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -167,8 +167,8 @@ def pack(rows: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = OPE
             placed = [fit.place(size) for size in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema=schema)
 
-    order = [F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece"]
-    return rows.repartition(tasks, *order[1:]).sortWithinPartitions(*order).mapInArrow(run, PACKED)
+    order = [F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece"]
+    return rows.repartition(tasks, "doc_id", "piece").sortWithinPartitions(*order).mapInArrow(run, PACKED)
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
