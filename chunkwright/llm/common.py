@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 #: Rows in one Python step; a batch from Spark is cut to this, so that lists of long texts stay small.
 STEP = 256
+#: Small rows (ids, links) for one task.
+COMPACT = 50_000
 #: No column of an input may start with this; operators use it for columns of their own.
 OWN = "__llm_"
 
@@ -74,3 +76,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def compact(df: DataFrame, rows: int = COMPACT) -> DataFrame:
+    """A checkpointed ``df`` in no more partitions than its size needs, so that its next shuffles aren't mostly small files."""
+    return df.coalesce(1 + df.count() // rows)
