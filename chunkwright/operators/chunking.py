@@ -21,6 +21,10 @@ from .. import schemas
 CHUNKS = "path string, ordinal int, offset long, len long, id string"
 
 
+#: A value for each byte; any fixed random table does.
+GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
+
+
 @dataclasses.dataclass(frozen=True)
 class Sizes:
     least: int = schemas.CHUNK_MIN
@@ -47,8 +51,7 @@ def line_chunks(texts: DataFrame) -> DataFrame:
 
 def gear(data: np.ndarray) -> np.ndarray:
     """At each byte the gear hash of the 32 bytes up to it; a window over the whole blob, so it doesn't start anew at a cut."""
-    table = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
-    h = table[data]
+    h = GEAR[data]
     step = 1
     while step < 32:
         h[step:] += h[:-step] << np.uint32(step)
