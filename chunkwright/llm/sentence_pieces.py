@@ -234,20 +234,19 @@ def _chunk_rows(docs: DataFrame, chunk: int, longest: int) -> DataFrame:
     def rows(batch: list) -> Iterable[tuple]:
         for doc_id, row, text in batch:
             whole = escaped(text)
-            last = -(-len(whole) // chunk) - 1
-            for n in range(last + 1):
+            for n in range(-(-len(whole) // chunk)):
                 low, high = n * chunk, min((n + 1) * chunk, len(whole))
                 from_ = max(0, low - longest)
-                yield doc_id, row, n, last, low - from_, high - from_, whole[from_ : high + longest]
+                yield doc_id, row, n, low - from_, high - from_, whole[from_ : high + longest]
 
     found = docs.select("doc_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), common.text_of()), 256).alias("row"), common.text_of().alias("text"))
-    cut = common.map_rows(found.where(F.char_length("text") >= chunk), rows, "doc_id long, row string, chunk int, last int, low int, high int, part string")
+    cut = common.map_rows(found.where(F.char_length("text") >= chunk), rows, "doc_id long, row string, chunk int, low int, high int, part string")
     return cut.dropDuplicates(["row", "chunk"])
 
 
 def encoded_chunks(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, ``row`` (a digest of id and text), ``chunk``, ``last``, ``ids`` (array) of each chunk of documents of ``chunk``
-    characters or more."""
+    """``doc_id``, ``row`` (a digest of id and text), ``chunk``, ``n_chars``, ``round_trip``, ``ids`` (array) of the pieces that start in each
+    chunk of documents of ``chunk`` characters or more; rows equal in id and text are one."""
     path = path or default_vocabulary()
     cut = common.checkpointed(_chunk_rows(docs, chunk, vocabulary(path).longest))
 
@@ -268,10 +267,13 @@ def encoded_chunks(docs: DataFrame, path: str | None = None, chunk: int = CHUNK)
 
     def traced(batch: list) -> Iterable[tuple]:
         vocab = vocabulary(path)
-        for doc_id, row, n, last, low, high, part, a, b, c, d in batch:
-            yield doc_id, row, n, last, trace(vocab, part, low, high, n == 0, (a, b), (c, d))
+        for doc_id, row, n, low, high, part, a, b, c, d in batch:
+            ids = trace(vocab, part, low, high, n == 0, (a, b), (c, d))
+            own = part[low + b : high + d].replace(BLANK, " ")
+            own = own[1:] if n == 0 else own  # the blank that the model puts before a text
+            yield doc_id, row, n, len(own), decode(vocab, ids, n == 0) == own, ids
 
-    return common.map_rows(cut.join(borders, ["row", "chunk"]).select("doc_id", "row", "chunk", "last", "low", "high", "part", "a", "b", "c", "d"), traced, "doc_id long, row string, chunk int, last int, ids array<int>")
+    return common.map_rows(cut.join(borders, ["row", "chunk"]).select("doc_id", "row", "chunk", "low", "high", "part", "a", "b", "c", "d"), traced, "doc_id long, row string, chunk int, n_chars long, round_trip boolean, ids array<int>")
 
 
 def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -294,13 +296,10 @@ def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Dat
     short = common.map_rows(texts.where(F.char_length("text") < chunk), whole, schema)
 
     def joined(batch: list) -> Iterable[tuple]:
-        vocab = vocabulary(path)
-        for doc_id, text, parts in batch:
-            parts = [p["ids"] for p in sorted(parts, key=lambda p: p["chunk"])]
-            ids = [i for p in parts for i in p]
-            back = "".join(decode(vocab, p, n == 0) for n, p in enumerate(parts))
-            yield doc_id, len(text), len(ids), zlib.crc32(packed_ids(ids)), back == text, ids
-
-    own = encoded_chunks(docs, path, chunk).groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts"))
-    giants = docs.select("doc_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), common.text_of()), 256).alias("row"), common.text_of().alias("text")).where(F.char_length("text") >= chunk)
-    return short.unionByName(common.map_rows(giants.join(own, "row").select("doc_id", "text", "parts"), joined, schema))
+        for doc_id, n_chars, round_trip, parts in batch:
+            ids = [i for p in sorted(parts, key=lambda p: p["chunk"]) for i in p["ids"]]
+            yield doc_id, n_chars, len(ids), zlib.crc32(packed_ids(ids)), round_trip, ids
+
+    chunks = encoded_chunks(docs, path, chunk)
+    giants = chunks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_chars").alias("n_chars"), F.bool_and("round_trip").alias("round_trip"), F.collect_list(F.struct("chunk", "ids")).alias("parts"))
+    return short.unionByName(common.map_rows(giants.select("doc_id", "n_chars", "round_trip", "parts"), joined, schema))
