@@ -229,7 +229,7 @@ def packed_ids(ids: list[int]) -> bytes:
 
 
 def _chunk_rows(docs: DataFrame, chunk: int, longest: int) -> DataFrame:
-    """The chunks of giant documents with what is around them, dealt evenly."""
+    """The chunks of giant documents with what is around them, dealt evenly; rows equal in id and text are one, ``copies`` says of how many."""
 
     def rows(batch: list) -> Iterable[tuple]:
         for doc_id, row, text in batch:
@@ -239,14 +239,15 @@ def _chunk_rows(docs: DataFrame, chunk: int, longest: int) -> DataFrame:
                 from_ = max(0, low - longest)
                 yield doc_id, row, n, low - from_, high - from_, whole[from_ : high + longest]
 
-    found = docs.select("doc_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), common.text_of()), 256).alias("row"), common.text_of().alias("text"))
+    found = docs.select("doc_id", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), common.text_of()), 256).alias("row"), common.text_of().alias("text"))
     cut = common.map_rows(found.where(F.char_length("text") >= chunk), rows, "doc_id long, row string, chunk int, low int, high int, part string")
-    return cut.dropDuplicates(["row", "chunk"])
+    same = [F.first(c).alias(c) for c in ("doc_id", "low", "high", "part")]
+    return cut.groupBy("row", "chunk").agg(*same, F.count("*").alias("copies"))
 
 
 def encoded_chunks(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, ``row`` (a digest of id and text), ``chunk``, ``n_chars``, ``round_trip``, ``ids`` (array) of the pieces that start in each
-    chunk of documents of ``chunk`` characters or more; rows equal in id and text are one."""
+    """``doc_id``, ``row`` (a digest of id and text), ``copies``, ``chunk``, ``n_chars``, ``round_trip``, ``ids`` (array) of the pieces that start
+    in each chunk of documents of ``chunk`` characters or more; rows equal in id and text are one, of ``copies``."""
     path = path or default_vocabulary()
     cut = common.checkpointed(_chunk_rows(docs, chunk, vocabulary(path).longest))
 
@@ -267,21 +268,21 @@ def encoded_chunks(docs: DataFrame, path: str | None = None, chunk: int = CHUNK)
 
     def traced(batch: list) -> Iterable[tuple]:
         vocab = vocabulary(path)
-        for doc_id, row, n, low, high, part, a, b, c, d in batch:
+        for doc_id, row, copies, n, low, high, part, a, b, c, d in batch:
             ids = trace(vocab, part, low, high, n == 0, (a, b), (c, d))
             own = part[low + b : high + d].replace(BLANK, " ")
             own = own[1:] if n == 0 else own  # the blank that the model puts before a text
-            yield doc_id, row, n, len(own), decode(vocab, ids, n == 0) == own, ids
+            yield doc_id, row, copies, n, len(own), decode(vocab, ids, n == 0) == own, ids
 
-    return common.map_rows(cut.join(borders, ["row", "chunk"]).select("doc_id", "row", "chunk", "low", "high", "part", "a", "b", "c", "d"), traced, "doc_id long, row string, chunk int, n_chars long, round_trip boolean, ids array<int>")
+    return common.map_rows(cut.join(borders, ["row", "chunk"]).select("doc_id", "row", "copies", "chunk", "low", "high", "part", "a", "b", "c", "d"), traced, "doc_id long, row string, copies long, chunk int, n_chars long, round_trip boolean, ids array<int>")
 
 
 def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``doc_id``, ``n_chars``, ``n_tokens``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit numbers), ``round_trip``
     (the ids decode to the text) and ``ids`` (array) for each row.
 
-    A null or empty text has no ids. Repeated rows are encoded each, but of giant documents equal in id and text one row is
-    given. An empty table gives no rows.
+    A null or empty text has no ids. Repeated rows give repeated results; of giant documents equal in id and text one is
+    encoded and given back as often as they come. An empty table gives no rows.
     """
     path = path or default_vocabulary()
     schema = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean, ids array<int>"
@@ -296,10 +297,12 @@ def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Dat
     short = common.map_rows(texts.where(F.char_length("text") < chunk), whole, schema)
 
     def joined(batch: list) -> Iterable[tuple]:
-        for doc_id, n_chars, round_trip, parts in batch:
+        for doc_id, copies, n_chars, round_trip, parts in batch:
             ids = [i for p in sorted(parts, key=lambda p: p["chunk"]) for i in p["ids"]]
-            yield doc_id, n_chars, len(ids), zlib.crc32(packed_ids(ids)), round_trip, ids
+            yield copies, doc_id, n_chars, len(ids), zlib.crc32(packed_ids(ids)), round_trip, ids
 
     chunks = encoded_chunks(docs, path, chunk)
-    giants = chunks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_chars").alias("n_chars"), F.bool_and("round_trip").alias("round_trip"), F.collect_list(F.struct("chunk", "ids")).alias("parts"))
-    return short.unionByName(common.map_rows(giants.select("doc_id", "n_chars", "round_trip", "parts"), joined, schema))
+    giants = chunks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.sum("n_chars").alias("n_chars"), F.bool_and("round_trip").alias("round_trip"), F.collect_list(F.struct("chunk", "ids")).alias("parts"))
+    giants = common.map_rows(giants.select("doc_id", "copies", "n_chars", "round_trip", "parts"), joined, f"copies long, {schema}")
+    each = giants.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    return short.unionByName(each)

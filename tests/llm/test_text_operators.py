@@ -334,6 +334,14 @@ def test_encoded_tables(spark) -> None:
     assert sentence_pieces.encoded(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_of_every_length_are_given_each(spark) -> None:
+    vocab = sentence_pieces.vocabulary(sentence_pieces.default_vocabulary())
+    long = "many words here " * 100
+    rows = [(1, "short")] * 2 + [(None, "short")] * 2 + [(2, long)] * 3 + [(None, long)] * 2 + [(None, "2:" + long), (3, long)]
+    got = sentence_pieces.encoded(docs(spark, rows), chunk=1000).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"], tuple(r["ids"])) for r in got) == sorted((i or -1, len(t), tuple(vocab.library.encode(t))) for i, t in rows)
+
+
 def test_reports_of_odd_rows(spark) -> None:
     assert pii.pii_report(odd(spark, taken="spans n_email kind")).count() == len(ODD)
     assert secret_scan.secret_report(odd(spark, taken="spans n_hex")).count() == len(ODD)
