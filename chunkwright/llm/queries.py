@@ -23,7 +23,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"))
+    rows = substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.array_join(F.transform("__llm_removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return rows.select("doc_id", F.col("__llm_before").alias("n_chars"), F.col("__llm_removed_chars").alias("removed_chars"), removed.alias("removed"), "text")
 

@@ -1,8 +1,11 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
+"""Substring dedup: each stretch of MIN_RUN characters that a document with a smaller id has too is cut out.
 
-A chunk ends where the hash of the last WINDOW characters has a zero field, so an insertion moves only the
-boundaries near it. A chunk that a document with a smaller id has too is a repeat; runs of repeats of at
-least MIN_RUN characters are cut out, and the smallest id keeps the passage.
+Every window of MIN_RUN characters belongs to the least hash of a quarter of its length within it (its seed), which its
+content alone decides. Neighbouring windows of one seed are a stretch, about MIN_RUN / 2.6 of them. Equal windows have equal
+seeds, so only stretches whose seeds several documents have are looked at: those equal as a whole by one digest, the
+first of each that differ, at the ends of a repeat, window by window. Nothing is missed but by a collision of digests.
+
+``chunk_ends`` cuts a text by a gear hash: a chunk ends where the hash of the last WINDOW characters has a zero field.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,6 +24,10 @@ LEAST, EXPECTED, MOST = 16, 32, 128
 WINDOW = 16
 #: Shorter repeated runs stay: single lines, names of licences and chance repeats. About 20 words.
 MIN_RUN = 128
+#: Stretches of more different contents than this share no task by their seed, but are compared by windows.
+CROWD = 1000
+#: A cut's border moves to a space no farther than this, so that no part of a word is cut.
+NEAR = 24
 #: Characters that one step of the hash holds at once.
 SLICE = 1 << 16
 
@@ -68,52 +75,153 @@ def chunk_ends(text: str) -> list[int]:
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``digest``, ``doc_id``, ``row`` (a hash of id and text), ``start``, ``end`` of each chunk; no shuffle."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
-    def rows(batch: list) -> Iterable[tuple]:
-        import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+def _widened(h: np.ndarray, have: int, want: int) -> np.ndarray:
+    """Hashes of each ``want`` neighbours from those of each ``have``."""
+    while have < want:
+        step = min(have, want - have)
+        h = _mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        have += step
+    return h
+
+
+def stretches(text: str, size: int) -> Iterable[tuple]:
+    """For each slice of ``text``: its place, the first and the last window of its stretches (from there), their seeds' hashes, their digests,
+    and the hash of each window of ``size`` characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    short = max(1, size // 4)
+    low = np.uint64((1 << (SLICE + size).bit_length()) - 1)
+    for at in range(0, len(codes) - size + 1, SLICE):
+        seeds = _widened(_mixed((codes[at : at + SLICE + size - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)), 1, short)
+        windows = _widened(seeds, short, size)
+        least, have, want = (seeds & ~low) | np.arange(len(seeds), dtype=np.uint64), 1, size - short + 1  # of equal ones the leftmost
+        while have < want:
+            step = min(have, want - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        seed = least & low
+        first = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
+        last = np.r_[first[1:], len(seed)] - 1
+        digest = _mixed(_mixed(windows[first] + (last - first).astype(np.uint64)) + windows[last])
+        yield at, first, last, seeds[seed[first]], digest, windows
+
+
+def _held(docs: DataFrame, size: int) -> DataFrame:
+    """``seed``, ``digest``, ``doc_id``, ``row`` (a hash of id and text), ``starts``, ``n`` (characters) of each different stretch of a row; no shuffle."""
+
+    def rows(batch: list) -> Iterable[tuple]:
         for doc_id, row, text in batch:
-            start = 0
-            for end in chunk_ends(text):
-                yield digest(text[start:end].encode("utf-8", "surrogatepass")) - (1 << 63), doc_id, row, start, end
-                start = end
+            found: dict[int, tuple] = {}
+            for at, first, last, seed, digest, _ in stretches(text, size):
+                for s, d, a, b in zip(seed.view(np.int64).tolist(), digest.view(np.int64).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True):
+                    if d in found:
+                        found[d][4].append(a)
+                    else:
+                        found[d] = s, d, doc_id, row, [a], b - a + size
+            yield from found.values()
 
-    return common.map_rows(_numbered(docs).select("doc_id", f"{common.OWN}row", common.text_of().alias("text")), rows, "digest long, doc_id long, row long, start int, end int")
+    return common.map_rows(_numbered(docs).select("doc_id", f"{common.OWN}row", common.text_of().alias("text")), rows, "seed long, digest long, doc_id long, row long, starts array<int>, n int")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(f"{common.OWN}row", F.xxhash64("doc_id", common.text_of()))
 
 
-def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """``row``, ``spans`` (array of start, end) that are to be cut from each row that has any.
+def _firsts(rows: DataFrame, *by: str) -> DataFrame:
+    """The least id of each group (null before all others), the greatest and whether one is null."""
+    known = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unknown"))
+    return known.withColumn("several", (F.col("first") < F.col("last")) | F.col("unknown") & F.col("first").isNotNull()).withColumn("first", F.when(~F.col("unknown"), F.col("first")))
 
-    First the digests that several documents have, with the smallest id (added up before the shuffle, so a chunk of every
-    document is one row a task); then each chunk is looked up among them. Both shuffle numbers, no text.
-    """
-    own = chunks(docs)
-    held = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unknown"))
-    held = held.where((F.col("first") < F.col("last")) | F.col("unknown") & F.col("first").isNotNull()).select("digest", F.when(~F.col("unknown"), F.col("first")).alias("first"))
-    again = own.join(held, "digest").where(F.col("doc_id").isNotNull() & (F.col("first").isNull() | (F.col("first") < F.col("doc_id"))))
-    spans = again.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
-    runs = _runs(spans)
-    return runs.select("row", F.filter("spans", lambda s: s["end"] - s["start"] >= min_run).alias("spans")).where(F.size("spans") > 0)
+def _later() -> Column:
+    return F.col("doc_id").isNotNull() & (F.col("first").isNull() | (F.col("first") < F.col("doc_id")))
 
 
-def _runs(spans: DataFrame) -> DataFrame:
-    """Adjacent spans as one: a run starts where no span ends and ends where none starts."""
-    starts, ends = F.transform("spans", lambda s: s["start"]), F.transform("spans", lambda s: s["end"])
-    heads, tails = F.array_sort(F.array_except(starts, ends)), F.array_sort(F.array_except(ends, starts))
-    return spans.select("row", F.arrays_zip(heads.alias("start"), tails.alias("end")).alias("spans"))
+def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """``row``, ``spans`` (array of start, end) that an earlier document has too, of each row that has any.
+
+    First the seeds that several documents have (added up before the shuffle, so a seed of every document is one row a
+    task); then each stretch is looked up among them. Of stretches that differ and share a seed, one document's of each
+    content is compared with the others by windows, which is linear in the text; their characters are shuffled by the seed, or
+    where a seed has more than CROWD contents, digests of their windows.
+    """
+    held = _held(docs, min_run)
+    hit = common.checkpointed(held.join(_firsts(held, "seed").where("several").select("seed"), "seed"))
+    known = _firsts(hit, "seed", "digest").select("seed", "digest", "first")
+    mixed = known.groupBy("seed").agg((F.count("*") > 1).alias("mixed"), (F.count("*") > CROWD).alias("crowd"))
+    hit = hit.join(known, ["seed", "digest"]).join(mixed, "seed").where(_later() | F.col("mixed"))
+    hit = common.checkpointed(hit.select("row", F.when(~_later(), F.col("seed")).alias("seed"), "starts", "n", _later().alias("whole"), "crowd"))
+    whole = hit.where("whole").select("row", F.explode("starts").alias("start"), "n").select("row", "start", (F.col("start") + F.col("n")).alias("end"))
+
+    open_ = hit.where("NOT whole").groupBy("row").agg(F.collect_list(F.struct("seed", "starts", "n", "crowd")).alias(f"{common.OWN}open")).withColumnRenamed("row", f"{common.OWN}key")
+    texts = _numbered(docs)
+    texts = texts.join(open_, texts[f"{common.OWN}row"] == open_[f"{common.OWN}key"])
+    names = [f"{common.OWN}row", "doc_id", "text", f"{common.OWN}open"]
+    names += [c for c in docs.columns if c not in names]  # all columns, so that this shuffle of the texts is the one that serves for cutting, too
+
+    def parts(batch: list) -> Iterable[tuple]:
+        for row, doc_id, text, stretch, *_ in batch:
+            yield from ((x["seed"], text[a : a + x["n"]], doc_id, row, a) for x in stretch if not x["crowd"] for a in x["starts"])
+            crowds = [np.arange(a, a + x["n"] - min_run + 1) for x in stretch if x["crowd"] for a in x["starts"]]
+            wanted = np.unique(np.concatenate(crowds)) if crowds else None
+            for at, *_, hashes in stretches(text, min_run) if crowds else ():
+                here = wanted[np.searchsorted(wanted, at) : np.searchsorted(wanted, at + len(hashes))]
+                yield from ((w, None, doc_id, row, a) for w, a in zip(hashes[here - at].view(np.int64).tolist(), here.tolist(), strict=True))
+
+    each = common.map_rows(texts.select(*names), parts, "key long, part string, doc_id long, row long, start int")
+    each = each.withColumn("one", F.col("part").isNull()).repartition("key", "one").sortWithinPartitions("key", "one", F.col("doc_id").asc_nulls_first())
+    seen: dict = {}  # a task's own: the windows of the group at hand with their first documents
+
+    def compared(batch: list) -> Iterable[tuple]:
+        for key, one, part, doc_id, row, at in batch:
+            if seen.get("group") != (key, one):
+                seen.clear()
+                seen["group"] = key, one
+                seen["first"] = {}
+            first, low = seen["first"], None
+            count = 1 if one else len(part) - min_run + 1
+            for k in range(count):
+                again = first.setdefault(None if one else part[k : k + min_run], doc_id) != doc_id
+                if again and low is None:
+                    low = k
+                if low is not None and (not again or k == count - 1):
+                    yield row, at + low, at + k - (not again) + min_run
+                    low = None
+
+    ends = common.map_rows(each.select("key", "one", "part", "doc_id", "row", "start"), compared, "row long, start int, end int")
+
+    def joined(batch: list) -> Iterable[tuple]:
+        for row, spans in batch:
+            out: list[list[int]] = []
+            for x in sorted(spans, key=lambda x: x["start"]):
+                if out and x["start"] <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], x["end"])
+                else:
+                    out.append([x["start"], x["end"]])
+            yield row, [{"start": a, "end": b} for a, b in out]
+
+    spans = whole.unionByName(ends).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return common.map_rows(spans, joined, "row long, spans array<struct<start:int,end:int>>")
+
+
+def _at_words(span: Column, size: Column) -> Column:
+    """The span without spaces and parts of words at its borders; where a border has no space near, it stays."""
+    text = F.col("text")
+    head, tail = F.substring(text, span["start"] + 1, F.lit(NEAR)), F.substring(text, span["end"] - NEAR + 1, F.lit(NEAR))
+    inside = lambda at: F.substring(text, at, F.lit(2)).rlike(r"^\S\S")  # noqa: E731  a word goes over the border
+    left = F.when(inside(span["start"]), F.regexp_extract(head, r"^\S*\s+", 0)).otherwise(F.regexp_extract(head, r"^\s+", 0))
+    right = F.when(inside(span["end"]), F.regexp_extract(tail, r"\s+\S*$", 0)).otherwise(F.regexp_extract(tail, r"\s+$", 0))
+    start = span["start"] + F.when(span["start"] > 0, F.char_length(left)).otherwise(0)
+    end = span["end"] - F.when(span["end"] < size, F.char_length(right)).otherwise(0)
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
 def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with ``text`` cut (where anything is) and three more columns, whose names start with ``__llm_``: ``removed`` (array
-    of start, end in the old text), ``removed_chars`` and ``before`` (characters).
+    of start, end in the old text, at whole words), ``removed_chars`` and ``before`` (characters).
 
     Rows of one id are one document: they aren't repeats of each other, nor are passages within one. Null ids come before
     all others and are one document. Null texts stay null. Rows equal in id and text are cut alike. An empty table gives no rows.
@@ -123,7 +231,8 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     rows = _numbered(docs)
     rows = rows.join(cut, rows[f"{own}row"] == cut[f"{own}cut"], "left").drop(f"{own}row", f"{own}cut")
     spans = F.coalesce(F.col(f"{own}removed"), F.array().cast("array<struct<start:int,end:int>>"))
-    rows = rows.withColumn(f"{own}removed", spans).withColumn(f"{own}before", F.char_length(common.text_of()).cast("long"))
+    rows = rows.withColumn(f"{own}before", F.char_length(common.text_of()).cast("long"))
+    rows = rows.withColumn(f"{own}removed", F.transform(spans, lambda s: _at_words(s, F.col(f"{own}before")))).select(*docs.columns, f"{own}removed", f"{own}before")
     starts = F.concat(F.array(F.lit(0)), F.transform(f"{own}removed", lambda s: s["end"]))
     ends = F.concat(F.transform(f"{own}removed", lambda s: s["start"]), F.array(F.col(f"{own}before").cast("int")))
     kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")

@@ -164,6 +164,26 @@ def test_passages_are_cut(spark) -> None:
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_short_passages_are_cut_whole(spark, monkeypatch, crowd) -> None:
+    """Each window of MIN_RUN characters that an earlier document has is found, whatever lies around the passage."""
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd, raising=False)
+    rng = random.Random(9)
+    passages = [" ".join(words(rng, n)) for n in (30, 35, 40, 51, 60) for _ in range(8)]
+    rows = [(i, " ".join(words(rng, 40)) + f" {passages[i % 40]} " + " ".join(words(rng, 40))) for i in range(120)]
+    rows += [(200, "x" * 400), (201, "y" * 300 + "x" * 200), (202, "漢字" * 10 + passages[0]), (None, passages[7])]
+    size, held, want = substring_dedup.MIN_RUN, set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        at = [k for k in range(len(text) - size + 1) if text[k : k + size] in held]
+        want[i] = sorted({c for k in at for c in range(k, k + size)})
+        held |= {text[k : k + size] for k in range(len(text) - size + 1)}
+    frame = docs(spark, rows)
+    got = {r["doc_id"]: [c for s in r["spans"] for c in range(s["start"], s["end"])] for r in substring_dedup.repeats(frame).join(frame.select("doc_id", F.xxhash64("doc_id", "text").alias("row")), "row").collect()}
+    assert got == {i: c for i, c in want.items() if c}
+    for r in substring_dedup.substring_dedup(frame).where("doc_id BETWEEN 40 AND 119").collect():
+        assert passages[r["doc_id"] % 40] not in rows[r["doc_id"]][1] or len(passages[r["doc_id"] % 40]) < size or r["__llm_removed_chars"] >= len(passages[r["doc_id"] % 40])
+
+
 def test_chunks_against_a_plain_loop(spark) -> None:
     for text in [*(r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(40).collect()), "", "a", "a" * 1000, "é漢" * 200]:
         ends = substring_dedup.chunk_ends(text)
