@@ -394,8 +394,9 @@ def fsck_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(path) AS path, file_digest FROM snap_a WHERE doc_id % 10 = 0 GROUP BY file_digest")
 def fsck_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tenth stored blob has lost its last character: those digests, once each, are wrong."""
-    a = snapshot(spark, sf_dir, "a").where("doc_id % 10 = 0 OR doc_id % 10 = 1")
+    """Every stored blob is hashed; each tenth has a character too many: those digests, once each, are wrong. Other paths of
+    a damaged content would be reported for it, so they aren't among the files."""
+    a = snapshot(spark, sf_dir, "a")
     bad = a.where("doc_id % 10 = 0").select("file_digest").distinct().withColumn("bad", F.lit(True))
     files = a.join(bad, "file_digest", "left").where("doc_id % 10 = 0 OR bad IS NULL")
     held = files.select(F.col("file_digest").alias("id"), F.when(F.col("bad"), F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("data")).dropDuplicates(["id"])

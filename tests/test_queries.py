@@ -31,3 +31,12 @@ def test_query(spark, duck, name) -> None:
     want = duck.sql(catalogue.ORACLES[name])
     assert sorted(want.columns) == sorted(frame.columns)
     assert got == plain((dict(zip(want.columns, r, strict=True)) for r in want.fetchall()), want.columns)
+
+
+def test_deep_check_hashes_every_blob(spark, monkeypatch) -> None:
+    seen = []
+    monkeypatch.setattr(catalogue.integrity, "wrong_files", lambda *tables: seen.extend(tables) or tables[0])
+    catalogue.QUERIES["fsck_deep"](spark, DIR)
+    want = {r[0] for r in catalogue.snapshot(spark, DIR, "a").select("file_digest").collect()}
+    for frame, name in zip(seen, ("file_digest", "id", "id"), strict=True):
+        assert {r[0] for r in frame.select(name).collect()} == want
