@@ -193,7 +193,7 @@ def staging_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT path, min(size) AS size FROM blobs GROUP BY path")
 def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blobs(spark, sf_dir).select("path", "size")
-    return ingest.candidates(rows.unionByName(rows.limit(50)).unionByName(spark.createDataFrame([("a/.chunkwright/config", 1)], "path string, size long")))
+    return ingest.candidates(rows.unionByName(rows).unionByName(spark.createDataFrame([("a/.chunkwright/config", 1)], "path string, size long")))
 
 
 # Store

@@ -40,3 +40,11 @@ def test_deep_check_hashes_every_blob(spark, monkeypatch) -> None:
     want = {r[0] for r in catalogue.snapshot(spark, DIR, "a").select("file_digest").collect()}
     for frame, name in zip(seen, ("file_digest", "id", "id"), strict=True):
         assert {r[0] for r in frame.select(name).collect()} == want
+
+
+def test_every_candidate_is_repeated(spark, monkeypatch) -> None:
+    seen = []
+    monkeypatch.setattr(catalogue.ingest, "candidates", lambda rows: seen.append(rows) or rows)
+    catalogue.QUERIES["candidate_dedup"](spark, DIR)
+    counts = {r["path"]: r["count"] for r in seen[0].groupBy("path").count().collect()}
+    assert {p for p, n in counts.items() if n == 2} == {r["path"] for r in catalogue.blobs(spark, DIR).select("path").collect()} and len(counts) - 1 == sum(n == 2 for n in counts.values())
