@@ -24,14 +24,14 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: A candidate: key characters, at least MIN_LENGTH of them, with a digit and both cases or a long run of one.
+#: A candidate: key characters, at least MIN_LENGTH of them, with a letter.
 MIN_LENGTH = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_LENGTH)
 #: Fewer characters a token than this is random; words of any language lie above 2.5.
 MAX_RATIO = 2.1
 
 #: Identifiers and digests that aren't secrets: UUIDs, digests of the usual lengths in either case, numbers,
-#: dates with times, paths, and what a digest's name stands before.
+#: dates with times, paths, and after a digest's name what has a digest's form and length.
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
@@ -40,6 +40,10 @@ KNOWN = re.compile(
     r"|/?(?:[A-Za-z]+[/_-])+[A-Za-z]*"
 )
 DIGEST_NAME = re.compile(r"(?i:md5|sha1|sha224|sha256|sha384|sha512|digest|checksum|etag|commit|integrity)\W{1,3}$", re.A)
+DIGEST = re.compile(
+    r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})(?:-[0-9]+)?"
+    r"|[A-Za-z0-9+/_-]{22}(?:==)?|[A-Za-z0-9+/_-]{27}=?|[A-Za-z0-9+/_-]{38}(?:==)?|[A-Za-z0-9+/_-]{43}=?|[A-Za-z0-9+/_-]{64}|[A-Za-z0-9+/_-]{86}(?:==)?"
+)
 
 
 @functools.cache
@@ -58,9 +62,9 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def varied(text: str) -> bool:
-    """Has a digit and a letter: a word of any language has no digit, a number no letter."""
-    return any(c in "0123456789" for c in text) and any(c.isalpha() for c in text)
+def lettered(text: str) -> bool:
+    """Has a letter: a number has none."""
+    return any(c.isalpha() for c in text)
 
 
 def find(text: str, vocabulary: str) -> dict[str, list[tuple[int, int]]]:
@@ -75,9 +79,9 @@ def find(text: str, vocabulary: str) -> dict[str, list[tuple[int, int]]]:
     base = [x for got in spans.values() for x in got]
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if not varied(m[0]) or any(s < end and start < e for s, e in base):
+        if not lettered(m[0]) or any(s < end and start < e for s, e in base):
             continue
-        if KNOWN.fullmatch(m[0]) or DIGEST_NAME.search(text, max(0, start - 16), start):
+        if KNOWN.fullmatch(m[0]) or DIGEST.fullmatch(m[0]) and DIGEST_NAME.search(text, max(0, start - 16), start):
             continue
         if len(m[0]) < MAX_RATIO * len(encoding(vocabulary).encode_ordinary(m[0])):
             spans.setdefault("random", []).append((start, end))

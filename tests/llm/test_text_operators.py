@@ -107,6 +107,18 @@ def test_secrets_random_strings_only() -> None:
         assert find(clean) == [], clean
 
 
+def test_secrets_of_letters_and_after_a_digests_name() -> None:
+    rng, vocabulary = random.Random(4), secret_scan.default_vocabulary()
+    small, both = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    made = ["".join(rng.choice(s) for _ in range(n)) for s in (small, both) for n in (24, 40, 64) for _ in range(30)]
+    assert sum("random" in secret_scan.find(f"see {k} here", vocabulary) for k in made) >= 0.97 * len(made)
+    for text in ("internationalization and Donaudampfschifffahrtsgesellschaft", "src/main/java/com/example/application", "ArrayIndexOutOfBoundsException", "x" * 60, "=" * 40, "12345678901234567890123"):
+        assert "random" not in secret_scan.find(text, vocabulary), text
+    key = "q7Zk2Xv9Lw4Rt8Yp3Ns6Hd1Gf5"
+    assert "random" in secret_scan.find(f"commit: {key}", vocabulary)
+    assert "random" not in secret_scan.find("integrity: " + "q7Zk2Xv9Lw4Rt8Yp3Ns6Hd1Gf5Jb0MzQc8VxKa2WeT4=", vocabulary)
+
+
 def test_redaction() -> None:
     text = "a token=abcdef12 b AKIA" + "A" * 16 + " c"
     assert secret_scan.redact(text, secret_scan.default_vocabulary()) == "a [SECRET] b [SECRET] c"
