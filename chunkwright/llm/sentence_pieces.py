@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding, with giant documents split over tasks by a max-plus scan.
+"""SentencePiece encoding and decoding, with giant documents split over tasks by max-plus transfer matrices.
 
 The vocabulary is a BPE model, whose encoding has a local test: a sequence of pieces is the encoding of its
 text just when each two neighbours are the encoding of theirs (merges go by score, then from the left, and until a
@@ -7,8 +7,9 @@ merge crosses the border of two pieces, neither side knows of the other). So the
 
 A document of more than CHUNK characters is cut there, in the middle of a word or not. For each chunk a
 max-plus transfer matrix tells from which pieces over its left border which pieces over its right border are
-reached; as all weights are 0 or minus infinity, a row is a set of bits. The products of the matrices, which
-are associative, give the piece over each border, and each chunk then traces its own path back.
+reached; as all weights are 0 or minus infinity, a row is a set of bits. One task goes through a document's matrices from
+left to right, serially, for the piece over each border (``product`` is their associative product, which isn't needed for that),
+and each chunk then traces its own path back.
 Where no piece can span a place (before a blank that follows something else) all paths meet, and between the first and
 the last such place of a chunk the library encodes the text.
 """
