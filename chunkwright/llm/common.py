@@ -70,12 +70,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or "/tmp/checkpoints"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, with its lineage cut."""
+def tasks_for(spark: SparkSession, rows: int, a_task: int = 10_000) -> int:
+    """Tasks for what grows with ``rows``: as many as there are cores, and one for each ``a_task`` rows beyond that."""
+    return max(spark.sparkContext.defaultParallelism, rows // a_task)
+
+
+def checkpointed(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, with its lineage cut; in ``tasks`` files at most, as every file costs a process or two."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    return (df if tasks is None else df.coalesce(tasks)).checkpoint()
 
 
 def compact(df: DataFrame, rows: int = COMPACT) -> DataFrame:

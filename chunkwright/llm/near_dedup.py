@@ -1,22 +1,29 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles. Each of BANDS hash functions picks the TUPLE least
-occurrence-labelled shingles; their tuple, in the text's order, is a bucket. Texts that share a bucket are
-candidates, an alignment of the two shingle sequences decides, and links' components are the classes.
-
-Within a bucket of up to SMALL texts each two are compared. A larger one is a crowd around a common text:
-all are compared with the text that shares most buckets with others. What two texts of a crowd share beyond its
-common text brings them into small buckets of their own; for texts of crowds MORE further functions are used,
-so that such a bucket is all but sure, and each two of different classes in one are compared. Last, those of a crowd that
-aren't in its main class are compared with the most shared among them, until one class is left or ROUNDS are over.
+A text is a sequence of words and of their five-word shingles. Each of BANDS hash functions picks its TUPLE least
+occurrence-labelled shingles; they, in the text's order, are a bucket. Two texts are alike if an alignment of their words,
+in a band as wide as ALIKE allows, matches ALIKE of the longer one's words. Links' components are the classes.
+
+All texts go the same way, whatever the size of their buckets:
+
+1. Of the first FIRST functions, each text is compared with the centre (the one with the least key) of its bucket and length. A
+   text is in its length's class and in the next, and two lengths that ALIKE allows share one. Copies of one text, edited
+   or not, become one class here.
+2. Of all functions, each text is compared with the centre of its bucket's least class, if that isn't its own, and with its
+   neighbours in the bucket, in the order of another function's bucket, length and key, that are of another class.
+
+Pairs grow in proportion to the rows of a bucket, and no task holds a bucket. Texts so short that an edit leaves them no shingle aren't found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import re
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,21 +31,17 @@ from . import common
 from .components import connected_components
 
 WORDS = 5
+#: Words of the longer text that an alignment must match.
 ALIKE = 0.8
-BANDS, TUPLE = 16, 3
-SMALL = 16
-MORE = 64
-ROUNDS = 3
-#: Up to so many keys of 24 bytes are broadcast to find texts; more are joined by a shuffle.
-BROADCAST_KEYS = 200_000
-#: Pairs that one task verifies, about.
-PAIRS_A_TASK = 5_000
-#: Shingles in one step of the sketch.
-SLICE = 1 << 16
+BANDS, FIRST, TUPLE = 24, 8, 2
+#: Words that one step of an alignment takes of each text where no shingle ties them.
+PIECE = 1 << 14
+#: Texts whose buckets, and pairs that, one task has, about.
+TEXTS_A_TASK, PAIRS_A_TASK = 10_000, 5_000
 
 WORD = re.compile(r"\w+")
 #: Fixed odd factors and seeds of the hash functions.
-SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS + MORE, dtype=np.uint64)
+SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS, dtype=np.uint64)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,74 +83,126 @@ def labelled(shingle: np.ndarray) -> np.ndarray:
     return np.where(before > 0, mixed(shingle ^ (before * FACTOR)), shingle)
 
 
-def order_minhash(shingle: np.ndarray, first: int = 0, bands: int = BANDS, size: int = TUPLE) -> np.ndarray:
-    """One 64-bit bucket for each of ``bands`` functions from the one numbered ``first``: its number and its least labelled shingles, in the text's order."""
+def order_minhash(shingle: np.ndarray, size: int = TUPLE) -> np.ndarray:
+    """One 64-bit bucket for each function: its number and its ``size`` least labelled shingles, in the text's order."""
     marks = labelled(shingle)
-    seeds = SEEDS[first : first + bands, None]
-    take = min(size, len(marks))
-    best = np.zeros((bands, 0), np.int64)
-    for at in range(0, len(marks), SLICE):  # of a slice and of the slices before it, the least
-        part = np.concatenate([best, np.broadcast_to(np.arange(at, min(at + SLICE, len(marks))), (bands, min(SLICE, len(marks) - at)))], axis=1)
-        values = mixed(marks[part] ^ seeds)
-        if part.shape[1] > take:
-            part = np.take_along_axis(part, np.argpartition(values, take - 1, axis=1)[:, :take], axis=1)
-        best = part
-    best = np.sort(best, axis=1)
-    out = np.arange(first + 1, first + bands + 1, dtype=np.uint64)
-    for k in range(take):
-        out = mixed(out * np.uint64(5) + marks[best[:, k]])
+    places = np.empty((len(SEEDS), min(size, len(marks))), np.int64)
+    for f, seed in enumerate(SEEDS):
+        values = (marks ^ seed) * (seed | np.uint64(1))
+        values ^= values >> np.uint64(32)
+        values *= FACTOR
+        for k in range(places.shape[1]):
+            places[f, k] = least = values.argmin()
+            values[least] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    places.sort(axis=1)
+    out = np.arange(1, len(SEEDS) + 1, dtype=np.uint64)
+    for k in range(places.shape[1]):
+        out = mixed(out * np.uint64(5) + marks[places[:, k]])
     return out.view(np.int64)
 
 
 def common_run(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence that stays within ``band`` places of the diagonal."""
+    """Length of the longest common subsequence that stays within ``band`` places of the diagonal.
+
+    Bit-parallel: bit j of a row stands for place low + j of ``b``, a zero for a match gained there; the row's window
+    moves by one place with each symbol of ``a``.
+    """
     if len(a) > len(b):
         a, b = b, a
-    low, high = -band, len(b) - len(a) + band
-    width = high - low + 1
-    padded = np.zeros(len(b) + 2 * width + 2, b.dtype)
-    inside = np.zeros(len(padded), bool)
-    shift = width
-    padded[shift : shift + len(b)], inside[shift : shift + len(b)] = b, True
-    row = np.zeros(width + 1, np.int64)  # row[k]: best with j = i + low + k symbols of b used; the last one is a border
-    for i, symbol in enumerate(a):
-        at = i + low + shift
-        same = (padded[at : at + width] == symbol) & inside[at : at + width]
-        row[:-1] = np.maximum.accumulate(np.maximum(row[:-1] + same, row[1:]))  # b's symbol taken, a's left, b's left
-        row[-1] = row[-2]
-    return int(row[-2])
-
-
-def aligned_likeness(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> float:
-    """Matched shingles among all of both, by alignment; below ``alike`` some value below it.
-
-    Counts of equal shingles bound the matches from above and an ordered run of the shingles that occur once
-    bounds them from below; where these leave the answer open, the banded alignment decides. A band of half the
-    allowed differences loses nothing, for a path beyond it has more differences than ``alike`` allows.
+    above = len(b) - len(a) + band  # places right of the diagonal, as the longer one's end is in the band, too
+    width = band + above + 1
+    full, at = (1 << width) - 1, {}
+    for j, symbol in enumerate(b.tolist()):
+        at[symbol] = at.get(symbol, 0) | 1 << (j + band)
+    row, gained = full, 0
+    for i, symbol in enumerate(a.tolist()):
+        match = at.get(symbol, 0) >> i & full
+        row = ((row + (row & match)) | (row & ~match)) & full
+        gained += ~row & 1
+        row = row >> 1 | 1 << (width - 1)
+    return gained + width - row.bit_count()
+
+
+def chain(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs (place in ``a``, place in ``b``, words), in order and apart, from shingles that occur once in each: a longest ascending chain of them."""
+    sa, sb = shingles(a), shingles(b)
+    (ua, at_a, ca), (ub, at_b, cb) = (np.unique(s, return_index=True, return_counts=True) for s in (sa, sb))
+    _, ia, ib = np.intersect1d(ua[ca == 1], ub[cb == 1], assume_unique=True, return_indices=True)
+    left, right = at_a[ca == 1][ia], at_b[cb == 1][ib]
+    order = np.argsort(left)
+    left, right = left[order], right[order]
+    if len(right) and np.any(right[1:] < right[:-1]):
+        tops: list[int] = []
+        ends: list[int] = []
+        before = [-1] * len(right)
+        for k, j in enumerate(right.tolist()):
+            at = bisect_left(tops, j)
+            before[k] = ends[at - 1] if at else -1
+            tops[at : at + 1], ends[at : at + 1] = [j], [k]
+        kept, k = [], ends[-1]
+        while k >= 0:
+            kept.append(k)
+            k = before[k]
+        left, right = left[kept[::-1]], right[kept[::-1]]
+    runs: list[tuple[int, int, int]] = []
+    size = min(WORDS, len(a), len(b))
+    breaks = np.flatnonzero((np.diff(left) != np.diff(right)) | (np.diff(left) > size)) + 1 if len(left) else []
+    for part in np.split(np.arange(len(left)), breaks):
+        if len(part):
+            i, j, n = int(left[part[0]]), int(right[part[0]]), int(left[part[-1]] - left[part[0]]) + size
+            if runs:
+                over = max(0, runs[-1][0] + runs[-1][2] - i, runs[-1][1] + runs[-1][2] - j)
+                i, j, n = i + over, j + over, n - over
+            if n > 0:
+                runs.append((i, j, n))
+    return runs
+
+
+def matched_share(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> float:
+    """The share of the longer text's words that the alignment matches; where that is below ``alike``, some value below it.
+
+    Equal ends and the chain of shingles that occur once are matched as they are; what lies between is aligned within the band
+    that ``alike`` leaves: a path beyond it has more unmatched words than ``alike`` allows. Of more than PIECE words between two ties, equal
+    parts are aligned with each other, so time and memory grow with the length; what is matched so is an alignment, too.
     """
-    if not len(a) or not len(b):
+    longer = max(len(a), len(b))
+    if not min(len(a), len(b)):
         return 0.0
-    la, lb = labelled(a), labelled(b)
-    _, ia, ib = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
-    total = len(a) + len(b)
-    most = len(ia) / (total - len(ia))
-    if most < alike:
-        return most
-    places = ib[np.argsort(ia)]
-    if np.all(places[1:] > places[:-1]):
-        return most
-    band = int(total - 2 * np.ceil(alike * total / (1 + alike))) + 1
-    run = common_run(a, b, band)
-    return run / (total - run)
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[len(a) - short + head :] != b[len(b) - short + head :])
+    tail = short - head - 1 - int(differ[-1]) if len(differ) else short - head
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    sure, gaps = head + tail, []
+    i = j = 0
+    for x, y, n in [*(chain(a, b) if len(a) and len(b) else []), (len(a), len(b), 0)]:
+        gaps.append((a[i:x], b[j:y]))
+        sure, i, j = sure + n, x + n, y + n
+    gaps = [(x, y) for x, y in gaps if len(x) and len(y)]
+    gaps = [z for x, y in gaps for parts in [1 + min(len(x), len(y)) // PIECE] for z in zip(np.array_split(x, parts), np.array_split(y, parts), strict=True)]
+    most = sure + sum(min(len(x), len(y)) for x, y in gaps)
+    band = int(longer - np.ceil(alike * longer))
+    for x, y in sorted(gaps, key=lambda g: -min(map(len, g))):
+        if most < alike * longer:
+            break
+        most -= min(len(x), len(y))
+        (ux, nx), (uy, ny) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+        _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+        bound = int(np.minimum(nx[ix], ny[iy]).sum())
+        run = common_run(x, y, band) if bound and most + bound >= alike * longer else bound
+        most += run
+        sure += run
+    return min(most, sure) / longer
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` (of the text), ``n`` shingles, ``buckets`` for each row; no shuffle."""
+    """``doc_id``, ``key`` (of the text), ``n`` words, ``buckets`` for each row; no shuffle."""
 
     def rows(batch: list) -> Iterable[tuple]:
         for doc_id, key, text in batch:
-            s = shingles(word_hashes(text))
-            yield doc_id, key, len(s), order_minhash(s).tolist() if len(s) else []
+            w = word_hashes(text)
+            yield doc_id, key, len(w), order_minhash(shingles(w)).tolist() if len(w) else []
 
     return common.map_rows(docs.select("doc_id", common.text_key().alias("key"), common.text_of().alias("text")), rows, "doc_id long, key binary, n long, buckets array<long>")
 
@@ -155,10 +210,9 @@ def sketched(docs: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``key``, ``words`` (their hashes) of the texts in ``keys`` (``key``, ``doc_id`` of one of its rows)."""
     rows = docs.select("doc_id", common.text_key().alias("key"), common.text_of().alias("text"))
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    keys = keys.select(F.col("key").alias("rep_key"), F.col("doc_id").alias("rep")).hint("shuffle_merge")
     # with the id, copies of one text don't meet in one task
-    rows = rows.join(keys.withColumnRenamed("doc_id", "rep").withColumnRenamed("key", "rep_key"), F.col("key").eqNullSafe(F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    rows = rows.join(keys, F.col("key").eqNullSafe(F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def hashed(batch: list) -> Iterable[tuple]:
         for key, text in batch:
@@ -167,107 +221,125 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return common.map_rows(rows.select("key", "text"), hashed, "key binary, words binary").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) whose texts are alike. Computed once; the result is in as few partitions as its size needs."""
-    pairs = common.compact(common.checkpointed(pairs))
-    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS_A_TASK)
-    rows = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a").coalesce(tasks).join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
+def verified(pairs: DataFrame, texts: DataFrame, alike: float, tasks: int) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) whose texts are alike, computed once."""
+    pairs = common.checkpointed(pairs.distinct(), tasks)
+    tasks = common.tasks_for(pairs.sparkSession, pairs.count(), PAIRS_A_TASK)
+    rows = pairs.join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b").coalesce(tasks).join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
 
     def judged(batch: list) -> Iterable[tuple]:
-        last, sa = None, None
         for a, b, wa, wb in batch:
-            if wa != last:
-                last, sa = wa, shingles(np.frombuffer(wa, np.uint32))
-            likeness = aligned_likeness(sa, shingles(np.frombuffer(wb, np.uint32)), alike)
+            likeness = matched_share(np.frombuffer(wa, np.uint32), np.frombuffer(wb, np.uint32), alike)
             if likeness >= alike:
                 yield a, b, likeness
 
-    return common.compact(common.checkpointed(common.map_rows(rows.select("a", "b", "wa", "wb").coalesce(tasks), judged, "u binary, v binary, likeness double")))
+    return common.checkpointed(common.map_rows(rows.select("a", "b", "wa", "wb"), judged, "u binary, v binary, likeness double"), tasks)
 
 
-def _pairs(rows: DataFrame, alike: float) -> DataFrame:
-    """Rows ``x``, ``y`` (structs of key and n) as pairs a < b whose lengths allow them to be alike, each once."""
-    n = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * alike
-    a, b = F.least("x.key", "y.key"), F.greatest("x.key", "y.key")
-    return rows.where(n & (F.col("x.key") != F.col("y.key"))).select(a.alias("a"), b.alias("b")).distinct()
+def by_length(rows: DataFrame, alike: float) -> DataFrame:
+    """``rows`` (``bucket``, ``n``) in two groups each: of the bucket and the class of ``n`` in a geometric scale of step ``alike``, and of the class below.
 
+    Lengths whose ratio is ``alike`` or more are in the same class or in neighbouring ones."""
+    scale = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(alike))) + F.lit(1e-9))
+    return rows.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("group", F.xxhash64("bucket", scale + F.col("step"))).drop("step")
 
-def near_links(docs: DataFrame, sketches: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """Links ``u``, ``v``, ``likeness`` between keys of different texts; see the module for what is compared."""
-    texts = sketches.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    member = texts.select("key", "doc_id", "n", F.explode("buckets").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    member = common.compact(common.checkpointed(member.join(shared, "bucket")))
-    parts = 1 + member.count() // common.COMPACT
-    fame = member.groupBy("key").agg(F.sum("size").alias("fame"))
-    words = common.checkpointed(texts_of(docs, common.checkpointed(member.select("key", "doc_id").distinct().coalesce(parts))))
 
-    few = member.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("all"))
-    each = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: y["key"] > F.col("x.key"))).alias("y"))
-    crowd = common.compact(common.checkpointed(member.where(F.col("size") > SMALL).join(fame, "key").select("bucket", "key", "n", "fame").coalesce(parts)))
+def around_centres(rows: DataFrame, alike: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of each of ``rows`` (``group``, ``class``, ``key``, ``n``) with its group's centre, where lengths allow it.
 
-    def around(rows: DataFrame) -> DataFrame:
-        """Each bucket's most shared text with all the others."""
-        centre = rows.groupBy("bucket").agg(F.max_by(F.struct("key", "n"), F.struct("fame", "key")).alias("y"))
-        return rows.select("bucket", F.struct("key", "n").alias("x")).join(centre, "bucket").select("x", "y").coalesce(parts)
-
-    links = verified(_pairs(each.coalesce(parts).unionByName(around(crowd)), alike).coalesce(parts), words, alike)
-    if crowd.isEmpty():
-        return links
-    classes = connected_components(links)
-    new = verified(_pairs(_finer(words, crowd, classes, parts), alike).coalesce(parts), words, alike)
-    links = common.checkpointed(links.unionByName(new).dropDuplicates(["u", "v"]).coalesce(parts))
-    rest = crowd
-    for _ in range(ROUNDS - 1):
-        classes = connected_components(links) if not new.isEmpty() else classes
-        rest = rest.join(classes, rest["key"] == classes["node"], "left").select("bucket", "key", "n", "fame", F.coalesce("root", "key").alias("class")).coalesce(parts)
-        top = rest.groupBy("bucket").agg(F.max_by("class", F.struct("fame", "key")).alias("done"))
-        rest = common.compact(common.checkpointed(rest.join(top, "bucket").where(F.col("class") != F.col("done")).select("bucket", "key", "n", "fame").coalesce(parts)))
-        if rest.isEmpty():
-            break
-        new = verified(_pairs(around(rest), alike).coalesce(parts), words, alike)
-        if new.isEmpty():
-            break
-        links = common.checkpointed(links.unionByName(new).dropDuplicates(["u", "v"]).coalesce(parts))
-    return links
+    The centre is the least key of the group's least class; rows of that class aren't paired."""
+    centre = rows.groupBy("group").agg(F.min(F.struct("class", "key", "n")).alias("c"), F.max("class").alias("last")).where(F.col("c.class") < F.col("last"))
+    centre = centre.select(F.col("group").alias("of"), F.col("c.class").alias("least"), F.col("c.key").alias("centre"), F.col("c.n").alias("m"))
+    alone = (F.col("class") == F.col("least")) | (F.least("n", "m") < F.greatest("n", "m") * alike)
+    return rows.join(centre, (F.col("group") == F.col("of")) & ~alone).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
 
 
-def _finer(words: DataFrame, crowd: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """Rows ``x``, ``y`` of texts of crowds that are in different classes and share a small one of MORE further buckets."""
+def beside(rows: DataFrame, alike: float, tasks: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of neighbours of a group that are of different classes, in the order of ``finer``, ``n``, ``key``.
 
-    def rows(batch: list) -> Iterable[tuple]:
-        for key, n, w in batch:
-            yield key, n, order_minhash(shingles(np.frombuffer(w, np.uint32)), BANDS, MORE).tolist()
+    The order is made by ranges, so a group of any size is spread over tasks; each task also gives its first and last row, and
+    from these, two a task, come the pairs across tasks' borders.
+    """
+    rows = rows.select("group", "finer", "n", "key", "class")
+    by = ("group", "finer", "n", "key")
+    schema = "a binary, b binary, border int, place int, row struct<group:long,finer:long,n:long,key:binary,class:binary>"
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place, last, first = TaskContext.get().partitionId(), None, None
+        kinds = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("border", pa.int32()), ("place", pa.int32()), ("row", pa.struct([("group", pa.int64()), ("finer", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("class", pa.binary())]))])
+        for batch in batches:
+            table = pa.Table.from_batches(([last] if last is not None else []) + [batch]).combine_chunks()
+            if first is None:
+                first = table.slice(0, 1).to_pylist()[0]
+            n, group = table["n"].to_numpy(), table["group"].to_numpy()
+            key, of = table["key"].combine_chunks(), table["class"].combine_chunks()
+            near = (group[1:] == group[:-1]) & (np.minimum(n[1:], n[:-1]) >= np.maximum(n[1:], n[:-1]) * alike)
+            near &= pc.not_equal(of.slice(1), of.slice(0, len(of) - 1)).to_numpy(zero_copy_only=False)
+            found = [(key[k].as_py(), key[k + 1].as_py()) for k in np.flatnonzero(near).tolist()]
+            if found:
+                yield pa.RecordBatch.from_pylist([{"a": min(x), "b": max(x), "border": None, "place": None, "row": None} for x in found], schema=kinds)
+            last = table.slice(table.num_rows - 1, 1).to_batches()[0]
+        if first is not None:
+            yield pa.RecordBatch.from_pylist([{"a": None, "b": None, "border": k, "place": place, "row": row} for k, row in enumerate((first, last.to_pylist()[0]))], schema=kinds)
+
+    ordered = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    out = common.checkpointed(ordered.mapInArrow(neighbours, schema))
+    edge = sorted(out.where("border IS NOT NULL").select("place", "border", "row").collect(), key=lambda r: (r["place"], r["border"]))  # two rows a task
+    across = []
+    for x, y in zip(edge[1::2], edge[2::2], strict=False):
+        p, q = x["row"], y["row"]
+        if p["group"] == q["group"] and p["class"] != q["class"] and min(p["n"], q["n"]) >= max(p["n"], q["n"]) * alike:
+            across.append((min(p["key"], q["key"]), max(p["key"], q["key"])))
+    return out.where("border IS NULL").select("a", "b").unionByName(rows.sparkSession.createDataFrame(across, "a binary, b binary"))
+
+
+def distinct_texts(docs: DataFrame, tasks: int) -> DataFrame:
+    """``key``, ``doc_id`` (the least of its rows'), ``copies`` (rows), ``n`` words, ``buckets`` of each different text, computed once."""
+    same = [F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("buckets").alias("buckets")]
+    return common.checkpointed(sketched(docs).groupBy("key").agg(*same), tasks)
+
+
+def near_links(docs: DataFrame, texts: DataFrame, alike: float, tasks: int) -> DataFrame:
+    """Links ``u``, ``v``, ``likeness`` between keys of different texts, whose components are the classes; see the module for what is compared."""
+    place = F.col("place")
+    member = texts.select("key", "n", "buckets", F.posexplode("buckets").alias("place", "bucket"))
+    member = member.select("key", "n", "bucket", (place < FIRST).alias("early"), F.element_at("buckets", (place + BANDS // 2) % F.size("buckets") + 1).alias("finer"))
+    shared = texts.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    member = common.checkpointed(member.join(shared, "bucket"), tasks)
+    wanted = texts.select("key", "doc_id").join(member.select("key").distinct(), "key", "left_semi")
+    words = common.checkpointed(texts_of(docs, wanted), tasks)
+
+    links = verified(around_centres(by_length(member.where("early").withColumn("class", F.col("key")), alike), alike), words, alike, tasks)
+    classes = connected_components(links)
 
-    tasks = max(parts, words.sparkSession.sparkContext.defaultParallelism)
-    texts = common.map_rows(crowd.select("key", "n").distinct().join(words, "key").select("key", "n", "words").coalesce(tasks), rows, "key binary, n long, buckets array<long>")
-    texts = texts.join(classes, texts["key"] == classes["node"], "left").select(F.struct("key", "n", F.coalesce("root", "key").alias("class")).alias("x"), F.explode("buckets").alias("bucket"))
-    texts = common.checkpointed(texts.coalesce(tasks))
-    size = texts.groupBy("bucket").agg(F.count("*").alias("size"), F.min("x.class").alias("a"), F.max("x.class").alias("b")).where((F.col("size") <= SMALL) & (F.col("a") < F.col("b"))).select("bucket")
-    few = texts.join(size, "bucket").groupBy("bucket").agg(F.collect_list("x").alias("all"))
-    few = few.coalesce(tasks)
-    return few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["key"] > F.col("x.key")) & (y["class"] != F.col("x.class")))).alias("y"))
+    rows = member.join(classes, member["key"] == classes["node"], "left").select("key", "n", F.col("bucket").alias("group"), "finer", F.coalesce("root", "key").alias("class"))
+    rows = common.checkpointed(rows, tasks)
+    new = verified(around_centres(rows, alike).unionByName(beside(rows, alike, tasks)), words, alike, tasks)
+    return common.checkpointed(links.unionByName(new).dropDuplicates(["u", "v"]), tasks)
 
 
 def near_classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """``doc_id``, ``key``, ``class_id`` (the least id of the class), ``n_links`` (of the text to other texts), ``n_copies``
+    """``doc_id``, ``key``, ``class_id`` (the least id of the class), ``n_links`` (verified links of the text that tie its class), ``n_copies``
     (rows of the same text) for each row.
 
     Rows of equal text, null and empty alike, are one class with no need of a link. A text without a word
     is like its own copies only. Null ids are passed over for ``class_id`` unless the class has no other. Repeated
-    rows are given back as often as they come. An empty table gives no rows.
+    rows are given back as often as they come. Texts of any length are sketched and aligned as a whole. Columns other than ``doc_id``
+    and ``text`` aren't looked at, whatever their names. An empty table gives no rows.
     """
-    sketches = common.checkpointed(sketched(docs))
-    links = near_links(docs, sketches, alike)
-    copies = sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    tasks = common.tasks_for(docs.sparkSession, common.input_rows(docs), TEXTS_A_TASK)
+    texts = distinct_texts(docs, tasks)
+    links = near_links(docs, texts, alike, tasks)
     degree = links.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     classes = connected_components(links).withColumnRenamed("node", "key")
-    texts = copies.join(classes, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    texts = common.compact(common.checkpointed(texts))
-    ids = texts.where(F.col("root") != F.col("key")).groupBy("root").agg(F.min("least").alias("other"))
-    roots = texts.where(F.col("root") == F.col("key")).join(ids, "root", "left").select("root", F.least("least", "other").alias("class_id"))
-    texts = common.checkpointed(texts.join(roots, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
-    return sketches.select("doc_id", "key").join(texts, "key").select("doc_id", "key", "class_id", "n_links", "n_copies")
+    texts = texts.select("key", "doc_id", "copies").join(classes, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    texts = common.checkpointed(texts, tasks)
+    ids = texts.where(F.col("root") != F.col("key")).groupBy("root").agg(F.min("doc_id").alias("other"))
+    roots = texts.where(F.col("root") == F.col("key")).join(ids, "root", "left").select("root", F.least("doc_id", "other").alias("class_id"))
+    texts = common.checkpointed(texts.join(roots, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies")), tasks)
+    return docs.select("doc_id", common.text_key().alias("key")).join(texts, "key").select("doc_id", "key", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
@@ -279,10 +351,11 @@ def keep_one(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     classes = near_classes(docs, alike)
     group = F.struct(F.col("class_id").isNull(), F.col("class_id"), F.when(F.col("class_id").isNull(), F.col("key")))
     best = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(group.alias("g")).agg(F.min("key").alias(f"{own}key"), F.min("doc_id").alias(f"{own}id"))
-    best = common.checkpointed(best.drop("g"))  # nearly as many as there are documents, so it is joined by a shuffle at every size
+    tasks = common.tasks_for(docs.sparkSession, common.input_rows(docs), TEXTS_A_TASK)
+    best = common.checkpointed(best.drop("g"), tasks)  # nearly as many as there are documents, so it is joined by a shuffle at every size
     rows = docs.withColumn(f"{own}k", common.text_key())
     rows = rows.join(best, F.col(f"{own}k").eqNullSafe(F.col(f"{own}key")) & rows["doc_id"].eqNullSafe(F.col(f"{own}id")), "left_semi")
-    repeats = common.checkpointed(classes.groupBy("key", "doc_id").count().where("count > 1").select(F.col("key").alias(f"{own}key"), F.col("doc_id").alias(f"{own}id")))
+    repeats = common.checkpointed(classes.groupBy("key", "doc_id").count().where("count > 1").select(F.col("key").alias(f"{own}key"), F.col("doc_id").alias(f"{own}id")), tasks)
     if repeats.isEmpty():
         return rows.select(*docs.columns)
     again = F.col(f"{own}k").eqNullSafe(F.col(f"{own}key")) & rows["doc_id"].eqNullSafe(F.col(f"{own}id"))
