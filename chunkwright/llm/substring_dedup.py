@@ -1,36 +1,38 @@
-"""Substring dedup: each stretch of MIN_RUN characters that a document with a smaller id has too is cut out.
+"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest; what repeats is cut out.
 
-Every window of MIN_RUN characters belongs to the least hash of a quarter of its length within it (its seed), which its
-content alone decides. Neighbouring windows of one seed are a stretch, about MIN_RUN / 2.6 of them. Equal windows have equal
-seeds, so only stretches whose seeds several documents have are looked at: those equal as a whole by one digest, the
-first of each that differ, at the ends of a repeat, window by window. Nothing is missed but by a collision of digests.
-
-``chunk_ends`` cuts a text by a gear hash: a chunk ends where the hash of the last WINDOW characters has a zero field.
+A chunk ends where the hash of the last WINDOW characters has a zero field, so an insertion shifts no chunk but those
+it touches. A chunk that a document with a smaller id has, too (by a digest of 128 bits), is looked up in the first such document.
+Neighbouring chunks that are neighbours there, too, are a run; a run grows to both sides as far as the two texts are equal, at
+most MOST characters, and is cut out if it then has MIN_RUN characters: a passage of that length is cut up to its real ends,
+wherever chunks happen to lie, if it holds one whole chunk whose first document has the passage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import common
 
 #: Characters: least, most; one in EXPECTED characters beyond the least ends a chunk. About 46 on average.
-LEAST, EXPECTED, MOST = 16, 32, 128
+LEAST, EXPECTED, MOST = 16, 32, 256
 #: Characters that the boundary condition sees.
 WINDOW = 16
 #: Shorter repeated runs stay: single lines, names of licences and chance repeats. About 20 words.
 MIN_RUN = 128
-#: Stretches of more different contents than this share no task by their seed, but are compared by windows.
-CROWD = 1000
 #: A cut's border moves to a space no farther than this, so that no part of a word is cut.
 NEAR = 24
 #: Characters that one step of the hash holds at once.
 SLICE = 1 << 16
 
+SPAN = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+
 
 def boundaries(codes: np.ndarray) -> np.ndarray:
     """Where the gear hash of the characters up to and with the one before lets a chunk end.
@@ -75,148 +77,110 @@ def chunk_ends(text: str) -> list[int]:
     return ends
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def _widened(h: np.ndarray, have: int, want: int) -> np.ndarray:
-    """Hashes of each ``want`` neighbours from those of each ``have``."""
-    while have < want:
-        step = min(have, want - have)
-        h = _mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
-        have += step
-    return h
-
-
-def stretches(text: str, size: int) -> Iterable[tuple]:
-    """For each slice of ``text``: its place, the first and the last window of its stretches (from there), their seeds' hashes, their digests,
-    and the hash of each window of ``size`` characters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    short = max(1, size // 4)
-    low = np.uint64((1 << (SLICE + size).bit_length()) - 1)
-    for at in range(0, len(codes) - size + 1, SLICE):
-        seeds = _widened(_mixed((codes[at : at + SLICE + size - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)), 1, short)
-        windows = _widened(seeds, short, size)
-        least, have, want = (seeds & ~low) | np.arange(len(seeds), dtype=np.uint64), 1, size - short + 1  # of equal ones the leftmost
-        while have < want:
-            step = min(have, want - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        seed = least & low
-        first = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
-        last = np.r_[first[1:], len(seed)] - 1
-        digest = _mixed(_mixed(windows[first] + (last - first).astype(np.uint64)) + windows[last])
-        yield at, first, last, seeds[seed[first]], digest, windows
-
-
-def _held(docs: DataFrame, size: int) -> DataFrame:
-    """``seed``, ``digest``, ``doc_id``, ``row`` (a hash of id and text), ``starts``, ``n`` (characters) of each different stretch of a row; no shuffle."""
-
-    def rows(batch: list) -> Iterable[tuple]:
-        for doc_id, row, text in batch:
-            found: dict[int, tuple] = {}
-            for at, first, last, seed, digest, _ in stretches(text, size):
-                for s, d, a, b in zip(seed.view(np.int64).tolist(), digest.view(np.int64).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True):
-                    if d in found:
-                        found[d][4].append(a)
-                    else:
-                        found[d] = s, d, doc_id, row, [a], b - a + size
-            yield from found.values()
-
-    return common.map_rows(_numbered(docs).select("doc_id", f"{common.OWN}row", common.text_of().alias("text")), rows, "seed long, digest long, doc_id long, row long, starts array<int>, n int")
+ROW = f"{common.OWN}row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(f"{common.OWN}row", F.xxhash64("doc_id", common.text_of()))
-
-
-def _firsts(rows: DataFrame, *by: str) -> DataFrame:
-    """The least id of each group (null before all others), the greatest and whether one is null."""
-    known = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unknown"))
-    return known.withColumn("several", (F.col("first") < F.col("last")) | F.col("unknown") & F.col("first").isNotNull()).withColumn("first", F.when(~F.col("unknown"), F.col("first")))
-
-
-def _later() -> Column:
+    return docs.withColumn(ROW, F.xxhash64("doc_id", common.text_of()))
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """``high``, ``low`` (a digest), ``doc_id``, ``row`` (a hash of id and text) and ``place`` (512 times the start, plus the length) of each chunk; no shuffle."""
+    schema = "high long, low long, doc_id long, row long, place long"
+    common.small_batches(docs.sparkSession)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for whole in batches:
+            for at in range(0, whole.num_rows, common.STEP):
+                part = whole.slice(at, common.STEP)
+                digests, places, counts = [], [], []
+                for text in part["text"].to_pylist():
+                    ends, codes, start = chunk_ends(text), memoryview(text.encode("utf-32-le", "surrogatepass")), 0
+                    for end in ends:
+                        digests.append(digest(codes[4 * start : 4 * end]))
+                        start = end
+                    ends = np.array(ends, np.int64)
+                    starts = np.r_[np.zeros(min(1, len(ends)), np.int64), ends[:-1]]
+                    places.append(starts * 512 + ends - starts)
+                    counts.append(len(ends))
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), part["doc_id"].take(owner), part["row"].take(owner), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(columns, ["high", "low", "doc_id", "row", "place"])
+
+    return _numbered(docs).select(F.col("doc_id").cast("long"), F.col(ROW).alias("row"), common.text_of().alias("text")).mapInArrow(found, schema)
+
+
+def _later() -> F.Column:
     return F.col("doc_id").isNotNull() & (F.col("first").isNull() | (F.col("first") < F.col("doc_id")))
 
 
-def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """``row``, ``spans`` (array of start, end) that an earlier document has too, of each row that has any.
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """Computed once: ``doc_id``, ``row``, ``a``, ``b`` (a run of chunks in that row's text), ``of``, ``of_row``, ``at`` (the same run in the first document's text).
 
-    First the seeds that several documents have (added up before the shuffle, so a seed of every document is one row a
-    task); then each stretch is looked up among them. Of stretches that differ and share a seed, one document's of each
-    content is compared with the others by windows, which is linear in the text; their characters are shuffled by the seed, or
-    where a seed has more than CROWD contents, digests of their windows.
+    First the digests that several documents have (added up before the shuffle, so a chunk of every document is one row a
+    task), then each chunk is looked up among them, then the chunks of one row are joined to runs. All shuffle numbers, no text.
     """
-    held = _held(docs, min_run)
-    hit = common.checkpointed(held.join(_firsts(held, "seed").where("several").select("seed"), "seed"))
-    known = _firsts(hit, "seed", "digest").select("seed", "digest", "first")
-    mixed = known.groupBy("seed").agg((F.count("*") > 1).alias("mixed"), (F.count("*") > CROWD).alias("crowd"))
-    hit = hit.join(known, ["seed", "digest"]).join(mixed, "seed").where(_later() | F.col("mixed"))
-    hit = common.checkpointed(hit.select("row", F.when(~_later(), F.col("seed")).alias("seed"), "starts", "n", _later().alias("whole"), "crowd"))
-    whole = hit.where("whole").select("row", F.explode("starts").alias("start"), "n").select("row", "start", (F.col("start") + F.col("n")).alias("end"))
-
-    open_ = hit.where("NOT whole").groupBy("row").agg(F.collect_list(F.struct("seed", "starts", "n", "crowd")).alias(f"{common.OWN}open")).withColumnRenamed("row", f"{common.OWN}key")
-    texts = _numbered(docs)
-    texts = texts.join(open_, texts[f"{common.OWN}row"] == open_[f"{common.OWN}key"])
-    names = [f"{common.OWN}row", "doc_id", "text", f"{common.OWN}open"]
-    names += [c for c in docs.columns if c not in names]  # all columns, so that this shuffle of the texts is the one that serves for cutting, too
-
-    def parts(batch: list) -> Iterable[tuple]:
-        for row, doc_id, text, stretch, *_ in batch:
-            yield from ((x["seed"], text[a : a + x["n"]], doc_id, row, a) for x in stretch if not x["crowd"] for a in x["starts"])
-            crowds = [np.arange(a, a + x["n"] - min_run + 1) for x in stretch if x["crowd"] for a in x["starts"]]
-            wanted = np.unique(np.concatenate(crowds)) if crowds else None
-            for at, *_, hashes in stretches(text, min_run) if crowds else ():
-                here = wanted[np.searchsorted(wanted, at) : np.searchsorted(wanted, at + len(hashes))]
-                yield from ((w, None, doc_id, row, a) for w, a in zip(hashes[here - at].view(np.int64).tolist(), here.tolist(), strict=True))
-
-    each = common.map_rows(texts.select(*names), parts, "key long, part string, doc_id long, row long, start int")
-    each = each.withColumn("one", F.col("part").isNull()).repartition("key", "one").sortWithinPartitions("key", "one", F.col("doc_id").asc_nulls_first())
-    seen: dict = {}  # a task's own: the windows of the group at hand with their first documents
-
-    def compared(batch: list) -> Iterable[tuple]:
-        for key, one, part, doc_id, row, at in batch:
-            if seen.get("group") != (key, one):
-                seen.clear()
-                seen["group"] = key, one
-                seen["first"] = {}
-            first, low = seen["first"], None
-            count = 1 if one else len(part) - min_run + 1
-            for k in range(count):
-                again = first.setdefault(None if one else part[k : k + min_run], doc_id) != doc_id
-                if again and low is None:
-                    low = k
-                if low is not None and (not again or k == count - 1):
-                    yield row, at + low, at + k - (not again) + min_run
-                    low = None
-
-    ends = common.map_rows(each.select("key", "one", "part", "doc_id", "row", "start"), compared, "row long, start int, end int")
+    held, tasks = chunks(docs), common.tasks_for(docs.sparkSession, common.input_rows(docs))
+    known = held.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unknown"))
+    known = known.where((F.col("first") < F.col("last")) | F.col("unknown") & F.col("first").isNotNull()).select("high", "low", F.when(~F.col("unknown"), F.col("first")).alias("first"))
+    hits = common.checkpointed(held.join(known, ["high", "low"]), tasks)
+    origin = hits.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("high", "low").agg(F.min(F.struct("row", "place")).alias("o"))
+    origin = origin.select("high", "low", F.col("o.row").alias("of_row"), F.col("o.place").alias("at"))
+    again = hits.where(_later()).join(origin, ["high", "low"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "first", "of_row", "at")).alias("chunks"))
 
     def joined(batch: list) -> Iterable[tuple]:
-        for row, spans in batch:
-            out: list[list[int]] = []
-            for x in sorted(spans, key=lambda x: x["start"]):
-                if out and x["start"] <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], x["end"])
+        for doc_id, row, parts in batch:
+            run = None
+            for x in sorted(parts, key=lambda x: x["place"]):
+                a, n, of, at = x["place"] >> 9, x["place"] & 511, (x["first"], x["of_row"]), x["at"] >> 9
+                if run and run[1] == a and run[2:4] == of and run[4] + a - run[0] == at:
+                    run = run[0], a + n, *run[2:]
                 else:
-                    out.append([x["start"], x["end"]])
-            yield row, [{"start": a, "end": b} for a, b in out]
-
-    spans = whole.unionByName(ends).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return common.map_rows(spans, joined, "row long, spans array<struct<start:int,end:int>>")
-
-
-def _at_words(span: Column, size: Column) -> Column:
+                    if run:
+                        yield doc_id, row, *run
+                    run = a, a + n, *of, at
+            yield doc_id, row, *run
+
+    return common.checkpointed(common.map_rows(again, joined, "doc_id long, row long, a int, b int, of long, of_row long, at int"), tasks)
+
+
+def _equal(x: Iterable[str], y: Iterable[str]) -> int:
+    """How many characters of ``x`` and ``y`` are equal before the first that differs."""
+    n = 0
+    for p, q in zip(x, y):  # noqa: B905  up to the shorter one's end
+        if p != q:
+            break
+        n += 1
+    return n
+
+
+def grown(text: str, runs: list, min_run: int) -> list[tuple[int, int]]:
+    """Spans of ``text``: ``runs`` (a, b, before, after: what stands around the run in the first document) grown to both sides as far as it is the same there; those of ``min_run`` characters, joined."""
+    out: list[tuple[int, int]] = []
+    for a, b, before, after in runs:
+        a, b = a - _equal(reversed(text[max(0, a - MOST) : a]), reversed(before)), b + _equal(text[b : b + MOST], after)
+        if b - a >= min_run:
+            out.append((a, b))
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = joined[-1][0], max(b, joined[-1][1])
+        else:
+            joined.append((a, b))
+    return joined
+
+
+def at_words(text: str, a: int, b: int) -> tuple[int, int]:
     """The span without spaces and parts of words at its borders; where a border has no space near, it stays."""
-    text = F.col("text")
-    head, tail = F.substring(text, span["start"] + 1, F.lit(NEAR)), F.substring(text, span["end"] - NEAR + 1, F.lit(NEAR))
-    inside = lambda at: F.substring(text, at, F.lit(2)).rlike(r"^\S\S")  # noqa: E731  a word goes over the border
-    left = F.when(inside(span["start"]), F.regexp_extract(head, r"^\S*\s+", 0)).otherwise(F.regexp_extract(head, r"^\s+", 0))
-    right = F.when(inside(span["end"]), F.regexp_extract(tail, r"\s+\S*$", 0)).otherwise(F.regexp_extract(tail, r"\s+$", 0))
-    start = span["start"] + F.when(span["start"] > 0, F.char_length(left)).otherwise(0)
-    end = span["end"] - F.when(span["end"] < size, F.char_length(right)).otherwise(0)
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    if a > 0 and (m := re.match(r"\S*\s+" if re.match(r"\S\S", text[a - 1 : a + 1]) else r"\s+", text[a : a + NEAR])):
+        a += m.end()
+    if b < len(text) and (m := re.search(r"\s+\S*$" if re.match(r"\S\S", text[b - 1 : b + 1]) else r"\s+$", text[b - NEAR : b])):
+        b -= m.end() - m.start()
+    return a, b
 
 
 def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -224,17 +188,42 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     of start, end in the old text, at whole words), ``removed_chars`` and ``before`` (characters).
 
     Rows of one id are one document: they aren't repeats of each other, nor are passages within one. Null ids come before
-    all others and are one document. Null texts stay null. Rows equal in id and text are cut alike. An empty table gives no rows.
+    all others and are one document. Null texts stay null. Rows equal in id and text are cut alike. Texts are chunked in slices, so
+    their length is bounded by a row's only. An empty table gives no rows. No column may have a name that starts with ``__llm_``.
     """
     own = common.OWN
-    cut = repeats(docs, min_run).withColumnRenamed("row", f"{own}cut").withColumnRenamed("spans", f"{own}removed")
-    rows = _numbered(docs)
-    rows = rows.join(cut, rows[f"{own}row"] == cut[f"{own}cut"], "left").drop(f"{own}row", f"{own}cut")
-    spans = F.coalesce(F.col(f"{own}removed"), F.array().cast("array<struct<start:int,end:int>>"))
-    rows = rows.withColumn(f"{own}before", F.char_length(common.text_of()).cast("long"))
-    rows = rows.withColumn(f"{own}removed", F.transform(spans, lambda s: _at_words(s, F.col(f"{own}before")))).select(*docs.columns, f"{own}removed", f"{own}before")
-    starts = F.concat(F.array(F.lit(0)), F.transform(f"{own}removed", lambda s: s["end"]))
-    ends = F.concat(F.transform(f"{own}removed", lambda s: s["start"]), F.array(F.col(f"{own}before").cast("int")))
-    kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
-    removed = F.aggregate(f"{own}removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return rows.withColumn(f"{own}removed_chars", removed).withColumn("text", F.when(F.size(f"{own}removed") > 0, kept).otherwise(F.col("text")))
+    runs = repeated_runs(docs)
+    texts = _numbered(docs)
+
+    # what stands around each place of a first document where a run starts or ends: each place once, however many have the run
+    ends = runs.select(F.col("of").alias(f"{own}of"), F.col("of_row").alias(f"{own}of_row"), F.explode(F.array("at", F.col("at") + F.col("b") - F.col("a"))).alias("end"))
+    ends = ends.groupBy(f"{own}of", f"{own}of_row").agg(F.collect_set("end").alias(f"{own}ends"))
+    asked = texts.join(ends, texts["doc_id"].eqNullSafe(ends[f"{own}of"]) & (texts[ROW] == ends[f"{own}of_row"]))
+    names = ["doc_id", ROW, "text", f"{own}ends"]
+    names += [c for c in docs.columns if c not in names]  # all columns, so that this shuffle of the texts is the one that serves for cutting, too
+
+    def around(batch: list) -> Iterable[tuple]:
+        for doc_id, row, text, places, *_ in batch:
+            yield from ((doc_id, row, p, text[max(0, p - MOST) : p], text[p : p + MOST]) for p in places)
+
+    near = common.map_rows(asked.select(*names), around, "of long, of_row long, place int, before string, after string").dropDuplicates(["of", "of_row", "place"])
+    left = near.select(F.col("of").alias("l"), F.col("of_row").alias("l_row"), F.col("place").alias("l_place"), "before")
+    right = near.select(F.col("of").alias("r"), F.col("of_row").alias("r_row"), F.col("place").alias("r_place"), "after")
+    both = runs.join(left, F.col("of").eqNullSafe(F.col("l")) & (F.col("of_row") == F.col("l_row")) & (F.col("at") == F.col("l_place")))
+    both = both.join(right, F.col("of").eqNullSafe(F.col("r")) & (F.col("of_row") == F.col("r_row")) & (F.col("at") + F.col("b") - F.col("a") == F.col("r_place")))
+    found = both.groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b", "before", "after")).alias(f"{own}runs"))
+    found = found.select(F.col("doc_id").alias(f"{own}id"), F.col("row").alias(f"{own}key"), f"{own}runs")
+
+    rows = texts.join(found, texts["doc_id"].eqNullSafe(found[f"{own}id"]) & (texts[ROW] == found[f"{own}key"]), "left").select(*docs.columns, f"{own}runs")
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(f"{own}removed", SPAN), StructField(f"{own}before", LongType()), StructField(f"{own}removed_chars", LongType())])
+
+    def cut(batch: list) -> Iterable[tuple]:
+        for *row, runs in batch:
+            text = row[at] or ""
+            spans = [at_words(text, a, b) for a, b in grown(text, [(x["a"], x["b"], x["before"], x["after"]) for x in runs or ()], min_run)]
+            if spans:
+                row[at] = "".join(text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)], strict=True))
+            yield *row, [{"start": a, "end": b} for a, b in spans], len(text), sum(b - a for a, b in spans)
+
+    return common.map_rows(rows, cut, schema)
