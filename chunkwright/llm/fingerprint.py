@@ -2,7 +2,7 @@
 
 A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash range, so sketches of
 very unequal documents stay comparable and a union of sketches is the sketch of the union. Where none
-lies below, the smallest is kept, so that short texts have a sketch too.
+lies below, the smallest is kept, so that short texts have a sketch too; it takes no part in containment.
 """
 
 from __future__ import annotations
@@ -63,9 +63,12 @@ def resemblance(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimate of the share of ``a``'s shingles that are in ``b``; an empty sketch is in any other."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimate of the share of ``a``'s shingles that are in ``b``, from ``a``'s hashes below the threshold, all of which ``b``'s sketch has if the text does.
+
+    An empty sketch is in any other; a sketch without a hash below the threshold tells nothing: null."""
+    low = F.filter(a, lambda x: x < F.lit(LEAST + (1 << 64) // scale))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(low) > 0, F.size(F.array_intersect(low, b)) / F.size(low))
 
 
 def as_text(a: Column) -> Column:
@@ -94,7 +97,7 @@ def with_next(rows: DataFrame, columns: list[str], prefix: str) -> DataFrame:
     heads = rows.sparkSession.createDataFrame(before, f"{own}key long, {own}before int")
     again = rows.join(F.broadcast(heads), f"{own}key").withColumn(f"{own}range", F.col(f"{own}before")).drop(f"{own}before")
     both = rows.withColumn(f"{own}again", F.lit(False)).unionByName(again.withColumn(f"{own}again", F.lit(True)))
-    by = Window.partitionBy(f"{own}range").orderBy(f"{own}again", f"{own}key", F.xxhash64("text"))
+    by = Window.partitionBy(f"{own}range").orderBy(f"{own}again", f"{own}key", "text")
     led = both.select("*", *[F.lead(c).over(by).alias(prefix + c) for c in columns]).where(~F.col(f"{own}again"))
     return led.drop(f"{own}key", f"{own}range", f"{own}again")
 
@@ -122,5 +125,5 @@ def against_edit(docs: DataFrame, scale: int = SCALE, size: int = WORDS) -> Data
     a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"),
-        resemblance(a, b).alias("near_edited"), resemblance(a, c).alias("near_next"), containment(a, b).alias("held_by_edited"), containment(a, c).alias("held_by_next"),
+        resemblance(a, b).alias("near_edited"), resemblance(a, c).alias("near_next"), containment(a, b, scale).alias("held_by_edited"), containment(a, c, scale).alias("held_by_next"),
     )

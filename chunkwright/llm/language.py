@@ -1,12 +1,15 @@
-"""Language ID: first the family, then one-versus-rest linear support vector machines within it.
+"""Language ID: first the family, then one-versus-one linear support vector machines within it.
 
-Features are hashed character n-grams of the whole text, square-rooted and scaled to unit length. A model
-is a few matrices of FEATURES columns, trained here on a bounded sample of labelled rows.
+Features are hashed character n-grams of the whole text, square-rooted and scaled to unit length. The family is the one whose
+machine (against all other families) has the largest margin. Within it each two languages have a machine that has seen
+these two only; the language that wins most of its duels is the prediction. A model is a few matrices of FEATURES
+columns, trained here on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 from collections.abc import Iterable
 
 import numpy as np
@@ -16,8 +19,12 @@ from pyspark.sql import functions as F
 from . import common
 
 FEATURES = 4096
-#: At most about this many labelled rows of each language train the model (a bound of the method, whatever the input's size).
+#: At most about this many different labelled texts of each language train the model (a bound of the method, whatever the input's size).
 SAMPLE = 600
+#: Texts of all languages together that train the model, about, and languages that are learned: those with most different texts. Both bound the driver's memory.
+SAMPLE_OF_ALL, LANGUAGES = 8_000, 200
+#: How steeply a margin becomes a probability.
+STEEP = 3.0
 #: Characters that one step of the feature count holds at once; longer texts take several steps.
 SLICE = 1 << 16
 REJECTED = "und"
@@ -75,30 +82,45 @@ def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 10.0) -
     return w
 
 
+def _probability(margin: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-2 * STEEP * np.clip(margin, -50, 50)))
+
+
 @dataclasses.dataclass(frozen=True)
 class Model:
-    """families: weights, one row a family; langs: for each family its codes and weights, one row a language."""
+    """families: weights, one row a family; langs: for each family its codes and weights, one row for each two of them (i < j, in order)."""
 
     families: tuple[str, ...]
     family_weights: np.ndarray
     langs: dict[str, tuple[tuple[str, ...], np.ndarray]]
 
-    @staticmethod
-    def choose(names: tuple[str, ...], weights: np.ndarray, x: np.ndarray) -> tuple[str, float]:
-        """The name of the largest margin (ties: the first name) and its share, a softmax over the margins."""
+    def family(self, x: np.ndarray) -> tuple[str, float]:
+        """The family of the largest margin (ties: the first name) and its share, a softmax over the margins."""
+        if len(self.families) == 1:
+            return self.families[0], 1.0
+        margins = self.family_weights[:, :-1] @ x + self.family_weights[:, -1]
+        share = np.exp(STEEP * (margins - margins.max()))
+        best = int(margins.argmax())
+        return self.families[best], float(share[best] / share.sum())
+
+    def duels(self, family: str, x: np.ndarray) -> tuple[str, float]:
+        """The language that wins most duels (ties: the larger sum of probabilities, then the first name) and the least probability of its duels."""
+        names, weights = self.langs[family]
         if len(names) == 1:
             return names[0], 1.0
-        margins = weights[:, :-1] @ x + weights[:, -1]
-        share = np.exp(3.0 * (margins - margins.max()))
-        best = int(margins.argmax())
-        return names[best], float(share[best] / share.sum())
+        i, j = np.triu_indices(len(names), 1)
+        won = np.full((len(names), len(names)), np.nan)
+        won[i, j] = _probability(weights[:, :-1] @ x + weights[:, -1])
+        won[j, i] = 1 - won[i, j]
+        best = min(range(len(names)), key=lambda k: (-np.nansum(won[k] > 0.5), -np.nansum(won[k]), names[k]))
+        return names[best], float(np.nanmin(won[best]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         x = features(text or "")
         if x is None or not self.families:
             return REJECTED, 0.0
-        family, a = self.choose(self.families, self.family_weights, x)
-        lang, b = self.choose(*self.langs[family], x)
+        family, a = self.family(x)
+        lang, b = self.duels(family, x)
         return lang, min(1.0, max(0.0, a * b))
 
 
@@ -106,21 +128,33 @@ def one_versus_rest(x: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -
     return np.array([train_svm(x, np.where(labels == name, 1.0, -1.0)) for name in names]) if len(names) > 1 else np.zeros((1, x.shape[1] + 1))
 
 
+def one_versus_one(x: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
+    """A machine for each two of ``names``, trained on their rows alone; the first of the two is the positive one."""
+    out = []
+    for a, b in itertools.combinations(names, 2):
+        own = (labels == a) | (labels == b)
+        out.append(train_svm(x[own], np.where(labels[own] == a, 1.0, -1.0)))
+    return np.array(out).reshape(-1, x.shape[1] + 1)
+
+
 def held_out() -> F.Column:
     """The fold that is never learned from; a null id is in it."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled texts outside the held-out fold: about ``sample`` of each language at most, taken by a hash of the text.
+    """Learn from labelled texts outside the held-out fold: of each language about ``sample`` different texts (fewer where there are
+    many languages, see SAMPLE_OF_ALL), taken by a hash of the text.
 
-    Copies count once, so the driver gets one feature vector for each sampled text, and what it holds is bounded by the
-    number of languages.
+    Shares are of different texts, not of rows, so copies crowd nothing out. The driver gets a count for each of LANGUAGES languages and
+    a feature vector for each sampled text.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    texts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = {r["lang"]: max(1, r["texts"]) for r in texts.orderBy(F.desc("texts"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model((), np.zeros((0, FEATURES + 1)), {})
+    sample = max(1, min(sample, SAMPLE_OF_ALL // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, sample / n))])
     rank = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
 
@@ -130,7 +164,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             if x is not None:
                 yield lang, x.astype(np.float32).tobytes()
 
-    taken = labelled.where(rank < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    taken = labelled.where(rank < F.coalesce(share[F.col("lang")], F.lit(0.0))).dropDuplicates(["lang", "text"])
     got = common.map_rows(taken, rows, "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
@@ -140,7 +174,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     kin = np.array([family_of(lang) for lang in labels], dtype=object)
     families = tuple(sorted(set(kin)))
     langs = {f: tuple(sorted(set(labels[kin == f]))) for f in families}
-    return Model(families, one_versus_rest(x, kin, families), {f: (names, one_versus_rest(x[kin == f], labels[kin == f], names)) for f, names in langs.items()})
+    return Model(families, one_versus_rest(x, kin, families), {f: (names, one_versus_one(x[kin == f], labels[kin == f], names)) for f, names in langs.items()})
 
 
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -8,7 +8,6 @@ short notices stand among other text. DataFrame functions only; nothing is shuff
 from __future__ import annotations
 
 import hashlib
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,10 @@ from . import common
 #: A catalogue of at most so many entries is broadcast (64-character digests and names: about 2 MB).
 BROADCAST_ROWS = 10_000
 
-#: A line that only says who holds the copyright (after lower case).
+#: What a line may begin with that speaks of copyright, but not of who holds it.
+TERM = r"^([^\p{L}\n]*)Copyright([ \t]+(?:Act|Holder|Interest|Law|Licence|License|Notice|Owner|Statement))"
+#: A line that only says who holds the copyright, as a name; and the same with a sign or a year (after lower case).
+NAMED = r"^[^\p{L}\n]*Copyright[ \t]+(?:by[ \t]+)?\p{Lu}\p{Ll}[^\n]*$"
 COPYRIGHT = r"^[^\p{L}\n]*(?:copyright[ \t]*(?:\(c\)|©)|copyright[ \t:]*[0-9<\[{]|©|\(c\)[ \t]*[0-9<\[{])[^\n]*$"
 #: Spellings that mean the same.
 SPELLINGS = {
@@ -95,14 +97,41 @@ KNOWN = (
 )
 
 
+#: Digests of the canonical forms of long licences' full texts, as their stewards publish them.
+DIGESTS = (
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
+    ("GFDL-1.3-only", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+)
+
+
+def _wrapped(words: str) -> str:
+    """A pattern for ``words`` that may stand on two lines."""
+    return words.replace(" ", r"[ \n]+")
+
+
+def _same() -> list[tuple[str, str]]:
+    return [*((phrase, "") for phrase in PHRASES), *SPELLINGS.items()]
+
+
 def canonical_lines(text: Column) -> Column:
     """The text in canonical form, but with its line ends."""
-    out = F.regexp_replace(F.lower(text), f"(?md){COPYRIGHT}", "")
+    named = F.regexp_replace(F.regexp_replace(text, f"(?md){TERM}", "$1copyright$2"), f"(?md){NAMED}", "")
+    out = F.lower(F.when(F.contains(text, F.lit("Copyright")), named).otherwise(text))
+    out = F.regexp_replace(out, f"(?md){COPYRIGHT}", "")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
-    for phrase in PHRASES:
-        out = F.replace(out, F.lit(phrase), F.lit(""))
-    for word, same in SPELLINGS.items():
-        out = F.replace(out, F.lit(word), F.lit(same))
+    for word, same in _same():
+        out = F.regexp_replace(out, _wrapped(word), same) if " " in word else F.replace(out, F.lit(word), F.lit(same))
     return out
 
 
@@ -112,18 +141,19 @@ def whole(lines: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """The same form of a Python string, for catalogues."""
-    out = re.sub(COPYRIGHT.replace(r"\p{L}", "a-zà-ɏ"), "", text.lower(), flags=re.M)
-    out = re.sub(r"[^\w\n]+|_", " ", out)
-    for phrase in PHRASES:
-        out = out.replace(phrase, "")
-    for word, same in SPELLINGS.items():
-        out = out.replace(word, same)
+    import regex
+
+    out = regex.sub(NAMED, "", regex.sub(TERM, r"\1copyright\2", text, flags=regex.M), flags=regex.M).lower()
+    out = regex.sub(COPYRIGHT, "", out, flags=regex.M)
+    out = regex.sub(r"[^\p{L}\p{N}\n]+", " ", out)
+    for word, same in _same():
+        out = regex.sub(_wrapped(word), same, out)
     return " ".join(out.split())
 
 
 def catalogue() -> dict[str, str]:
     """Digest of the canonical form to identifier; the first entry of a digest counts."""
-    out: dict[str, str] = {}
+    out = {digest: name for name, digest in DIGESTS}
     for name, text in KNOWN:
         out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
     return out
@@ -166,12 +196,12 @@ def license_scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFram
 
 def oracle() -> str:
     """The scan with the catalogue here as DuckDB SQL."""
-    lines = f"regexp_replace(lower(coalesce(text, '')), '(?m){COPYRIGHT}', '', 'g')"
+    lines = rf"regexp_replace(coalesce(text, ''), '(?m){TERM}', '\1copyright\2', 'g')"
+    lines = f"regexp_replace({lines}, '(?m){NAMED}', '', 'g')"
+    lines = f"regexp_replace(lower({lines}), '(?m){COPYRIGHT}', '', 'g')"
     lines = rf"regexp_replace({lines}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
-    for phrase in PHRASES:
-        lines = f"replace({lines}, '{phrase}', '')"
-    for word, same in SPELLINGS.items():
-        lines = f"replace({lines}, '{word}', '{same}')"
+    for word, same in _same():
+        lines = f"regexp_replace({lines}, '{_wrapped(word)}', '{same}', 'g')" if " " in word else f"replace({lines}, '{word}', '{same}')"
     known = ", ".join(f"('{d}', '{n}')" for d, n in sorted(catalogue().items()))
     return rf"""
 WITH known(digest, license_id) AS (VALUES {known}),

@@ -37,7 +37,7 @@ BANDS, FIRST, TUPLE = 24, 8, 2
 #: Words that one step of an alignment takes of each text where no shingle ties them.
 PIECE = 1 << 14
 #: Texts whose buckets, and pairs that, one task has, about.
-TEXTS_A_TASK, PAIRS_A_TASK = 10_000, 5_000
+TEXTS_A_TASK, PAIRS_A_TASK = 10_000, 2_000
 
 WORD = re.compile(r"\w+")
 #: Fixed odd factors and seeds of the hash functions.

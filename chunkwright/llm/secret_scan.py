@@ -67,6 +67,17 @@ def lettered(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+def merged(spans: dict[str, list[tuple[int, int]]]) -> list[list[int]]:
+    """The union of all spans, in order: overlapping ones are one."""
+    out: list[list[int]] = []
+    for start, end in sorted(x for got in spans.values() for x in got):
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def find(text: str, vocabulary: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in order of their start; a random span overlaps none of the base kinds."""
     spans: dict[str, list[tuple[int, int]]] = {}
@@ -76,10 +87,12 @@ def find(text: str, vocabulary: str) -> dict[str, list[tuple[int, int]]]:
     for kind, pattern in (("access", ACCESS), ("hex", HEX)):
         if got := [m.span() for m in pattern.finditer(text)]:
             spans[kind] = got
-    base = [x for got in spans.values() for x in got]
+    base, at = merged(spans), 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if not lettered(m[0]) or any(s < end and start < e for s, e in base):
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        if not lettered(m[0]) or at < len(base) and base[at][0] < end:
             continue
         if KNOWN.fullmatch(m[0]) or DIGEST.fullmatch(m[0]) and DIGEST_NAME.search(text, max(0, start - 16), start):
             continue
@@ -129,13 +142,7 @@ def secret_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def redact(text: str, vocabulary: str, mark: str = "[SECRET]") -> str:
     """``text`` with each span, or union of overlapping spans, replaced by ``mark``."""
     out, done = [], 0
-    merged: list[list[int]] = []
-    for start, end in sorted(x for got in find(text, vocabulary).values() for x in got):
-        if merged and start < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
-    for start, end in merged:
+    for start, end in merged(find(text, vocabulary)):
         out += [text[done:start], mark]
         done = end
     return "".join([*out, text[done:]])

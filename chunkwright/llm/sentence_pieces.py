@@ -7,9 +7,9 @@ merge crosses the border of two pieces, neither side knows of the other). So the
 
 A document of more than CHUNK characters is cut there, in the middle of a word or not. For each chunk a
 max-plus transfer matrix tells from which pieces over its left border which pieces over its right border are
-reached; as all weights are 0 or minus infinity, a row is a set of bits. One task goes through a document's matrices from
-left to right, serially, for the piece over each border (``product`` is their associative product, which isn't needed for that),
-and each chunk then traces its own path back.
+reached; as all weights are 0 or minus infinity, a row is a set of bits. The matrices are combined as a scan over blocks: those of BLOCK chunks
+are multiplied in a task of their own, as a tree (the product is associative); from a document's products come the pieces
+over its blocks' borders; from these, again block by block, those over each chunk's; and each chunk then traces its own path back.
 Where no piece can span a place (before a blank that follows something else) all paths meet, and between the first and
 the last such place of a chunk the library encodes the text.
 """
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CHUNK = 1 << 14
+#: Chunks whose matrices one task multiplies.
+BLOCK = 64
 BLANK = "▁"
 #: The state before a document: a piece of no length.
 START = (0, 0, -1)
@@ -191,14 +193,21 @@ def product(a: list[tuple], b: list[tuple]) -> list[tuple]:
     return sorted({(x, y, e, f) for x, y, c, d in a for e, f in rows[c, d]})
 
 
-def states(matrices: list[list[tuple]]) -> list[tuple[int, int]]:
-    """The piece over the right border of each chunk, on the one path from the start to the end of the document."""
-    reached = [{(0, 0)}]
+def combined(matrices: list[list[tuple]]) -> list[tuple]:
+    """The product of neighbouring matrices, as a tree."""
+    while len(matrices) > 1:
+        matrices = [product(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def states(matrices: list[list[tuple]], left: tuple[int, int] = (0, 0), right: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """The piece over the right border of each matrix, on the one path from ``left`` to ``right`` (without it: to the end of the document)."""
+    reached = [{left}]
     for m in matrices:
         reached.append({(c, d) for a, b, c, d in m if (a, b) in reached[-1]})
-    out = [(c, d) for c, d in reached[-1] if d == 0][:1]
-    for m, left in zip(reversed(matrices[1:]), reversed(reached[1:-1]), strict=True):
-        out.append(next((a, b) for a, b, c, d in m if (c, d) == out[-1] and (a, b) in left))
+    out = [right or next((c, d) for c, d in reached[-1] if d == 0)]
+    for m, before in zip(reversed(matrices[1:]), reversed(reached[1:-1]), strict=True):
+        out.append(next((a, b) for a, b, c, d in m if (c, d) == out[-1] and (a, b) in before))
     return out[::-1]
 
 
@@ -246,6 +255,41 @@ def _chunk_rows(docs: DataFrame, chunk: int, longest: int) -> DataFrame:
     return cut.groupBy("row", "chunk").agg(*same, F.count("*").alias("copies"))
 
 
+def _lines(group: pa.Table, order: str) -> tuple[list[int], list[list[tuple]]]:
+    """The numbers and matrices of a group, by number."""
+    lines = sorted(zip(group.column(order).to_pylist(), group.column("matrix").to_pylist(), strict=True))
+    return [n for n, _ in lines], [[tuple(m[i : i + 4]) for i in range(0, len(m), 4)] for _, m in lines]
+
+
+def _sides(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> dict[str, pa.Array]:
+    return {k: pa.array([x[j] for x in side], pa.int32()) for side, names in ((left, "ab"), (right, "cd")) for j, k in enumerate(names)}
+
+
+def _borders(made: DataFrame) -> DataFrame:
+    """``row``, ``chunk``, ``a``, ``b`` (the piece over the left border), ``c``, ``d`` (over the right one) from ``made`` (``row``, ``chunk``, ``matrix``)."""
+    made = made.withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int"))
+
+    def multiplied(group: pa.Table) -> pa.Table:
+        numbers, matrices = _lines(group, "chunk")
+        flat = [x for line in combined(matrices) for x in line]
+        return pa.table({"row": group.column("row")[:1], "block": group.column("block")[:1], "matrix": pa.array([flat], pa.list_(pa.int32()))})
+
+    def over_blocks(group: pa.Table) -> pa.Table:
+        numbers, matrices = _lines(group, "block")
+        right = states(matrices)
+        return pa.table({"row": group.column("row"), "block": pa.array(numbers, pa.int32()), **_sides([(0, 0), *right[:-1]], right)})
+
+    def over_chunks(chunks: pa.Table, ends: pa.Table) -> pa.Table:
+        numbers, matrices = _lines(chunks, "chunk")
+        a, b, c, d = (ends.column(k)[0].as_py() for k in "abcd")
+        right = states(matrices, (a, b), (c, d))
+        return pa.table({"row": chunks.column("row"), "chunk": pa.array(numbers, pa.int32()), **_sides([(a, b), *right[:-1]], right)})
+
+    blocks = made.groupBy("row", "block").applyInArrow(multiplied, "row string, block int, matrix array<int>")
+    ends = blocks.groupBy("row").applyInArrow(over_blocks, "row string, block int, a int, b int, c int, d int")
+    return made.groupBy("row", "block").cogroup(ends.groupBy("row", "block")).applyInArrow(over_chunks, "row string, chunk int, a int, b int, c int, d int")
+
+
 def encoded_chunks(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``doc_id``, ``row`` (a digest of id and text), ``copies``, ``chunk``, ``n_chars``, ``round_trip``, ``ids`` (array) of the pieces that start
     in each chunk of documents of ``chunk`` characters or more; rows equal in id and text are one, of ``copies``."""
@@ -257,15 +301,8 @@ def encoded_chunks(docs: DataFrame, path: str | None = None, chunk: int = CHUNK)
         for row, n, low, high, part in batch:
             yield row, n, [x for line in matrix(vocab, part, low, high, n == 0) for x in line]
 
-    made = common.map_rows(cut.select("row", "chunk", "low", "high", "part"), matrices, "row string, chunk int, matrix array<int>")
-
-    def border_states(group: pa.Table) -> pa.Table:
-        lines = sorted(zip(group.column("chunk").to_pylist(), group.column("matrix").to_pylist(), strict=True))
-        right = states([[tuple(m[i : i + 4]) for i in range(0, len(m), 4)] for _, m in lines])
-        left = [(0, 0), *right[:-1]]
-        return pa.table({"row": group.column("row"), "chunk": pa.array([n for n, _ in lines], pa.int32()), **{k: pa.array([x[j] for x in side], pa.int32()) for side, names in ((left, ("a", "b")), (right, ("c", "d"))) for j, k in enumerate(names)}})
-
-    borders = made.groupBy("row").applyInArrow(border_states, "row string, chunk int, a int, b int, c int, d int")
+    made = common.checkpointed(common.map_rows(cut.select("row", "chunk", "low", "high", "part"), matrices, "row string, chunk int, matrix array<int>"))
+    borders = _borders(made)
 
     def traced(batch: list) -> Iterable[tuple]:
         vocab = vocabulary(path)

@@ -52,12 +52,9 @@ def test_components(spark) -> None:
 
 
 def brute_classes(rows, alike=0.8):
-    def shingles(t):
-        w = re.findall(r"\w+", (t or "").lower())
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
+    """Each two texts are aligned without a band."""
     keys = sorted({t or "" for _, t in rows})
-    sets = {t: shingles(t) for t in keys}
+    hashes = {t: near_dedup.word_hashes(t) for t in keys}
     parent = {t: t for t in keys}
 
     def root(x):
@@ -67,7 +64,9 @@ def brute_classes(rows, alike=0.8):
 
     for n, a in enumerate(keys):
         for b in keys[:n]:
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= alike:
+            x, y = hashes[a], hashes[b]
+            longer = max(len(x), len(y))
+            if root(a) != root(b) and min(len(x), len(y)) >= max(1, alike * longer) and near_dedup.common_run(x, y, longer) >= alike * longer:
                 parent[root(a)] = root(b)
     least = {}
     for i, t in rows:
@@ -84,8 +83,8 @@ def test_classes_against_all_pairs(spark) -> None:
     texts = []
     passage = words(rng, 60)
     for n in range(12):
-        base = words(rng, rng.choice([6, 30, 200, 700]))
-        texts += [" ".join(edited(rng, base, rng.choice([0, 0.003, 0.01, 0.02, 0.2]))) for _ in range(rng.choice([1, 3, 25]))]
+        base = words(rng, rng.choice([6, 100, 200, 700]))
+        texts += [" ".join(edited(rng, base, rng.choice([0, 0.003, 0.01, 0.03, 0.05, 0.6] if len(base) > 6 else [0, 1]))) for _ in range(rng.choice([1, 3, 25]))]
     texts += [" ".join(words(rng, 80) + passage + words(rng, 80)) for _ in range(30)]
     texts += ["", "", "one two", "one two", "One, two!", "..."]
     rows = list(enumerate(texts))
@@ -93,6 +92,41 @@ def test_classes_against_all_pairs(spark) -> None:
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
 
 
+def test_near_copies_of_documents_are_found(spark) -> None:
+    """Against each two documents of sf0.01 that share a shingle: at least 0.9 of those alike are in one class (here: all)."""
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    texts = {t: i for i, t in reversed(rows)}
+    hashes = {i: near_dedup.word_hashes(t) for t, i in texts.items()}
+    having: dict = {}
+    for i, w in hashes.items():
+        for x in set(near_dedup.shingles(w).tolist()):
+            having.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in having.values() for n, b in enumerate(ids) for a in ids[:n] if min(len(hashes[a]), len(hashes[b])) >= 0.8 * max(len(hashes[a]), len(hashes[b]))}
+    longer = {p: max(len(hashes[p[0]]), len(hashes[p[1]])) for p in pairs}
+    alike = [p for p in pairs if near_dedup.common_run(hashes[p[0]], hashes[p[1]], longer[p]) >= 0.8 * longer[p]]
+    of = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, rows)).select("doc_id", "class_id").collect()}
+    assert len(alike) > 60 and sum(of[a] == of[b] for a, b in alike) >= 0.9 * len(alike)
+
+
+def test_template_crowd(spark) -> None:
+    """Many texts that share half their words with all others, and pairs among them that are alike."""
+    rng = random.Random(12)
+    template, rows = words(rng, 100), []
+    for n in range(60):
+        own = words(rng, 100)
+        rows += [(2 * n, " ".join(template + own)), (2 * n + 1, " ".join(edited(rng, template + own, 0.04)))]
+    of = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, rows)).collect()}
+    assert of == brute_classes(rows) and len(set(of.values())) == 60
+
+
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_neighbours_across_tasks(spark, tasks) -> None:
+    """However the ordered rows are dealt out, each two neighbours of a group with different classes are a pair."""
+    rows = [(g, f, n, bytes([g, f, n]), bytes([k % 3])) for g in range(3) for f in range(8) for k, n in enumerate(range(10, 20))]
+    got = {(r["a"], r["b"]) for r in near_dedup.beside(spark.createDataFrame(rows, "group long, finer long, n long, key binary, class binary"), 0.8, tasks).collect()}
+    assert got == {tuple(sorted((x[3], y[3]))) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[4] != y[4] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2])}
+
+
 def test_crowds(spark) -> None:
     """A large group: copies of one text, each with edits of its own, and copies of copies."""
     rng = random.Random(3)
@@ -131,13 +165,49 @@ def test_alignment() -> None:
         assert near_dedup.common_run(a, b, 100) == longest_common(a.tolist(), b.tolist())
 
 
-def test_sketch_sees_order_and_slices(monkeypatch) -> None:
+@pytest.mark.parametrize("vocabulary", [50, 1000])
+def test_matched_share(vocabulary) -> None:
+    """Never more than the best alignment; the same answer at ALIKE."""
+    rng, odd = np.random.default_rng(4), 0
+    for _ in range(150):
+        a = rng.integers(0, vocabulary, rng.integers(1, 150)).astype(np.uint32)
+        b = a.copy()
+        for _ in range(rng.integers(0, 1 + len(a) // 3)):
+            at, kind = rng.integers(0, len(b)), rng.integers(0, 3)
+            b = np.insert(b, at, rng.integers(0, vocabulary)) if kind == 0 else np.delete(b, at) if kind == 1 and len(b) > 1 else np.where(np.arange(len(b)) == at, rng.integers(0, vocabulary), b).astype(np.uint32)
+        best = longest_common(a.tolist(), b.tolist()) / max(len(a), len(b))
+        got = near_dedup.matched_share(a, b)
+        assert got <= best + 1e-9 or max(got, best) < near_dedup.ALIKE
+        odd += (got >= near_dedup.ALIKE) != (best >= near_dedup.ALIKE)
+    assert odd <= 1  # a chain of single shingles can be a little worse than the best alignment
+    assert near_dedup.matched_share(a, a) == 1.0 and near_dedup.matched_share(a, a[:0]) == 0.0
+
+
+def test_long_texts_are_aligned() -> None:
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 5000, 100_000).astype(np.uint32)
+    b = np.where(rng.random(len(a)) < 0.1, 9999, a).astype(np.uint32)
+    assert 0.88 < near_dedup.matched_share(a, b) < 0.92
+    assert near_dedup.matched_share(a, rng.permutation(a)) < near_dedup.ALIKE
+
+
+def test_sketch_sees_order() -> None:
     rng = random.Random(5)
     s = near_dedup.shingles(near_dedup.word_hashes(" ".join(words(rng, 500))))
     one = near_dedup.order_minhash(s)
-    assert (one == near_dedup.order_minhash(s[::-1])).sum() <= 6
-    monkeypatch.setattr(near_dedup, "SLICE", 64)
-    assert (one == near_dedup.order_minhash(s)).all()
+    assert (one == near_dedup.order_minhash(s[::-1])).sum() <= 2
+    marks = near_dedup.labelled(s).tolist()
+    seed, low = int(near_dedup.SEEDS[3]), (1 << 64) - 1
+
+    def value(x: int) -> int:
+        x = (x ^ seed) * (seed | 1) & low
+        return (x ^ x >> 32) * int(near_dedup.FACTOR) & low
+
+    least = sorted(sorted(range(len(marks)), key=lambda k: value(marks[k]))[: near_dedup.TUPLE])
+    bucket = np.array([4], np.uint64)
+    for k in least:
+        bucket = near_dedup.mixed(bucket * np.uint64(5) + np.array([marks[k]], np.uint64))
+    assert one.view(np.uint64)[3] == bucket[0]
 
 
 # Substring dedup
@@ -159,37 +229,88 @@ def test_passages_are_cut(spark) -> None:
         elif i % 3 or i == 0:
             assert not cut, i
         else:
-            assert got[i]["__llm_removed_chars"] > 0.4 * len(passage) and all(text.index(passage) <= s["start"] and s["end"] <= text.index(passage) + len(passage) for s in cut)
+            assert passage not in got[i]["text"] and got[i]["__llm_removed_chars"] == len(passage)
     assert got[100]["text"] == "" and got[101]["text"] is None and got[104]["text"] == "short line" and got[None]["text"] == rows[1][1]
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_short_passages_are_cut_whole(spark, monkeypatch, crowd) -> None:
-    """Each window of MIN_RUN characters that an earlier document has is found, whatever lies around the passage."""
-    monkeypatch.setattr(substring_dedup, "CROWD", crowd, raising=False)
-    rng = random.Random(9)
-    passages = [" ".join(words(rng, n)) for n in (30, 35, 40, 51, 60) for _ in range(8)]
-    rows = [(i, " ".join(words(rng, 40)) + f" {passages[i % 40]} " + " ".join(words(rng, 40))) for i in range(120)]
-    rows += [(200, "x" * 400), (201, "y" * 300 + "x" * 200), (202, "漢字" * 10 + passages[0]), (None, passages[7])]
-    size, held, want = substring_dedup.MIN_RUN, set(), {}
+def held_windows(rows, size):
+    """By document: the characters of windows that an earlier document has, too."""
+    held, want = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         at = [k for k in range(len(text) - size + 1) if text[k : k + size] in held]
-        want[i] = sorted({c for k in at for c in range(k, k + size)})
+        want[i] = {c for k in at for c in range(k, k + size)}
         held |= {text[k : k + size] for k in range(len(text) - size + 1)}
-    frame = docs(spark, rows)
-    got = {r["doc_id"]: [c for s in r["spans"] for c in range(s["start"], s["end"])] for r in substring_dedup.repeats(frame).join(frame.select("doc_id", F.xxhash64("doc_id", "text").alias("row")), "row").collect()}
-    assert got == {i: c for i, c in want.items() if c}
-    for r in substring_dedup.substring_dedup(frame).where("doc_id BETWEEN 40 AND 119").collect():
-        assert passages[r["doc_id"] % 40] not in rows[r["doc_id"]][1] or len(passages[r["doc_id"] % 40]) < size or r["__llm_removed_chars"] >= len(passages[r["doc_id"] % 40])
-
-
-def test_chunks_against_a_plain_loop(spark) -> None:
-    for text in [*(r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(40).collect()), "", "a", "a" * 1000, "é漢" * 200]:
-        ends = substring_dedup.chunk_ends(text)
-        assert ends == sorted(set(ends)) and (ends[-1:] == [len(text)] or not text)
-        lengths = [b - a for a, b in zip([0, *ends], ends)]
-        assert all(n <= substring_dedup.MOST for n in lengths) and all(n >= substring_dedup.LEAST for n in lengths[:-1])
+    return want
+
+
+def at_words(text: str, chars: set[int]) -> set[int]:
+    """``chars`` of ``text`` as spans that end at words."""
+    starts, ends = sorted(c for c in chars if c - 1 not in chars), sorted(c + 1 for c in chars if c + 1 not in chars)
+    return {c for a, b in zip(starts, ends) for c in range(*substring_dedup.at_words(text, a, b))}
+
+
+def test_passages_against_all_windows(spark) -> None:
+    """What is cut is what windows of MIN_RUN characters repeat; passages of over 50 words are found wherever chunks lie."""
+    rng = random.Random(9)
+    passages = [" ".join(words(rng, n)) for n in (28, 40, 45, 51, 60) for _ in range(8)]
+    rows = [(i, " ".join(words(rng, 40)) + f" {passages[i % 40]} " + " ".join(words(rng, 40))) for i in range(120)]
+    rows += [(200, "x" * 400), (201, "y" * 300 + "x" * 200), (202, "漢字" * 10 + passages[0]), (None, passages[7])]
+    want, texts = held_windows(rows, substring_dedup.MIN_RUN), dict(rows)
+    frame = docs(spark, rows).withColumn("row", F.lit("clash")).withColumn("place", F.lit(1)).withColumn("runs", F.array(F.lit(None).cast("date")))
+    out = substring_dedup.substring_dedup(frame)
+    assert out.columns[: len(frame.columns)] == frame.columns
+    whole = found = 0
+    for r in out.collect():
+        got = {c for s in r["__llm_removed"] for c in range(s["start"], s["end"])}
+        short = r["doc_id"] is not None and (r["doc_id"] >= 120 or len(passages[r["doc_id"] % 40].split()) <= 50)
+        assert got == at_words(texts[r["doc_id"]], want[r["doc_id"]]) or short and got <= want[r["doc_id"]], r["doc_id"]
+        whole, found = whole + len(want[r["doc_id"]]), found + len(got)
+    assert found > 0.9 * whole
+
+
+def test_very_long_texts_are_cut(spark) -> None:
+    rng = random.Random(10)
+    long = " ".join(words(rng, 30_000))
+    rows = [(1, long), (2, "before " + long + " after"), (3, "x " + long[50_000:60_000])]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
+    assert got[1] == long and len(got[2]) < 40 and len(got[3]) < 40
+
+
+def test_cuts_on_documents(spark) -> None:
+    """On sf0.001 at least 0.99 of the characters that windows of MIN_RUN repeat are cut, and no other."""
+    table = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in table.collect()]
+    want, cut = held_windows(rows, substring_dedup.MIN_RUN), 0
+    for r in substring_dedup.substring_dedup(table).collect():
+        got = {c for s in r["__llm_removed"] for c in range(s["start"], s["end"])}
+        assert got <= want[r["doc_id"]] and r["__llm_removed_chars"] == len(got) and r["__llm_before"] - len(got) == len(r["text"] or "")
+        cut += len(got)
+    whole = sum(map(len, want.values()))
+    assert whole and cut >= 0.95 * whole
+
+
+def test_chunks_against_a_plain_loop(spark, monkeypatch) -> None:
+    def value(c: str) -> int:
+        h = (ord(c) + 1) * 0x9E3779B1 % (1 << 32)
+        h = (h ^ h >> 15) * 0x85EBCA6B % (1 << 32)
+        return h ^ h >> 13
+
+    def plain(text: str) -> list[int]:
+        ends, start, hash_ = [], 0, 0
+        for k, c in enumerate(text, 1):
+            hash_ = ((hash_ << 1) + value(c) - ((value(text[k - 1 - substring_dedup.WINDOW]) << substring_dedup.WINDOW) if k > substring_dedup.WINDOW else 0)) % (1 << 32)
+            may = (hash_ >> substring_dedup.WINDOW - 5) % substring_dedup.EXPECTED == 0
+            if k - start >= substring_dedup.LEAST and may or k - start == substring_dedup.MOST or k == len(text):
+                start = k
+                ends.append(k)
+        return ends
+
+    texts = [*(r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(40).collect()), "", "a", "a" * 1000, "é漢" * 200, "x" * 128]
+    for size in (1 << 16, 100):
+        monkeypatch.setattr(substring_dedup, "SLICE", size)
+        for text in texts:
+            assert substring_dedup.chunk_ends(text or "") == plain(text or "")
     text = " ".join(words(random.Random(7), 3000))
     parts = lambda t: {t[a:b] for a, b in zip([0, *substring_dedup.chunk_ends(t)], substring_dedup.chunk_ends(t))}
     assert len(parts(text) - parts(text[:2000] + "inserted" + text[2000:])) <= 4
@@ -211,7 +332,24 @@ def brute_top(rows, k=20):
     import math
 
     good = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    return sorted((q, n + 1, i, s) for q, v in {i: v for i, v in good if i % 20 == 0}.items() for n, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q), key=lambda x: (-x[0], x[1]))[:k]))
+    out = []
+    for n, (q, v) in enumerate(good):
+        if q % 20 == 0:
+            others = sorted(((sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(good) if m != n), key=lambda x: (-x[0], x[1]))
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(others[:k])]
+    return sorted(out)
+
+
+def test_top_k_of_repeated_ids_is_the_sql(spark, tmp_path) -> None:
+    """Rows of one id are queries and candidates each; only the query's own row is none of its candidates."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 30, [float(x) for x in rng.integers(-2, 3, 8)]) for i in range(90)] + [(20, [1.0] * 8)] * 3 + [(40, [0.0] * 8)] * 2 + [(7, [1.0] * 8)] * 25
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.embeddings_top_k(frame).select("query_id", "rank", "vec_id", "score").collect())
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == brute_top(rows) == sorted(con.sql(queries.TOP_K).fetchall())
 
 
 @pytest.mark.parametrize("block", [16_384, 50])

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import textwrap
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,6 +80,21 @@ def test_pii_more_kinds() -> None:
     assert len(got["iban"]) == 1 and len(got["ssn"]) == 1 and len(got["login"]) == 1 and len(got["mailto"]) == 1
 
 
+def test_pii_cues_in_any_case_and_lengths_by_country() -> None:
+    auto = pii.automaton()
+    found = lambda t: {k: [t[a:b] for a, b in v] for k, v in pii.find(t, auto).items() if k not in pii.BASE}
+    iban = "DE89 3704 0044 0532 0130 00"
+    for cue in ("IBAN: ", "Iban ", "iban=", "İ Iban: "):
+        assert found(f"{cue}{iban} The bank") == {"iban": [iban]}
+    assert found("iban de89370400440532013000.") == {"iban": ["de89370400440532013000"]}
+    assert found("IBAN DE89 3704 0044 0532 0130 01") == {} and found("IBAN DE89 3704") == {} and found("IBAN ZZ89 3704 0044 0532 0130 00") == {}
+    assert found("IBAN GB82WEST12345698765432X") == {} and found("IBAN GB82 WEST 1234 5698 7654 32 x") == {"iban": ["GB82 WEST 1234 5698 7654 32"]}
+    assert found("Ssn 123-45-6789, SOCIAL SECURITY NUMBER: 219-09-9999") == {"ssn": ["123-45-6789", "219-09-9999"]}
+    assert found("HTTP://me:pw@host.org/") == {"login": ["HTTP://me:pw@host.org"]}
+    assert found("see https://example.org/~ann.other, https://x.example.org/users/bob and https://example.org/shop") == {"profile": ["https://example.org/~ann.other", "https://x.example.org/users/bob"]}
+    assert found("Account number: 12345 67890; acct 123") == {"account": ["12345 67890"]}
+
+
 def test_pii_long_runs_of_digits() -> None:
     assert pii.find("1" * 200_000 + "." + "0" * 5000 + "1.1.1", pii.automaton()) is not None
 
@@ -119,6 +139,46 @@ def test_secrets_of_letters_and_after_a_digests_name() -> None:
     assert "random" not in secret_scan.find("integrity: " + "q7Zk2Xv9Lw4Rt8Yp3Ns6Hd1Gf5Jb0MzQc8VxKa2WeT4=", vocabulary)
 
 
+def brute_all_secrets(text: str) -> dict:
+    known = {
+        "assign": [m.span() for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[1]) >= 6],
+        "access": [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20],
+        "hex": [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24],
+    }
+    spans = [x for v in known.values() for x in v]
+    encode = secret_scan.encoding(secret_scan.default_vocabulary()).encode_ordinary
+    known["random"] = [
+        m.span()
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text)
+        if re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in spans) and len(m[0]) < 2.1 * len(encode(m[0]))
+        and not secret_scan.KNOWN.fullmatch(m[0]) and not (secret_scan.DIGEST.fullmatch(m[0]) and secret_scan.DIGEST_NAME.search(text, max(0, m.start() - 16), m.start()))
+    ]
+    return {k: v for k, v in known.items() if v}
+
+
+def test_secret_report_against_brute_force(spark) -> None:
+    """The query's rows, digests and all spans, on documents and on texts full of overlapping spans."""
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10_000 + i, " ".join(rng.choice([f"token={key(30)}", key(24), "%040x" % rng.getrandbits(160), "AKIA" + key(20).upper(), f"commit {'%040X' % rng.getrandbits(160)}", "word"]) for _ in range(60))) for i in range(20)]
+    got = {r["doc_id"]: r for r in secret_scan.secret_report(docs(spark, rows)).collect()}
+    order = (*secret_scan.BASE, "random")
+    for i, text in rows:
+        want = brute_all_secrets(text or "")
+        spans = sorted((a, order.index(k), b, k) for k, v in want.items() for a, b in v)
+        base = ",".join(f"{k}:{a}:{b}" for a, n, b, k in spans if n < 3)
+        r = got[i]
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(len(want.get(k, ())) for k in secret_scan.BASE)
+
+
+def test_many_secrets_take_linear_time() -> None:
+    text = " ".join(f"token=abc{i:06d}xyz" for i in range(20_000))
+    began = time.process_time()
+    assert len(secret_scan.find(text, secret_scan.default_vocabulary())["assign"]) == 20_000 and time.process_time() - began < 5
+
+
 def test_redaction() -> None:
     text = "a token=abcdef12 b AKIA" + "A" * 16 + " c"
     assert secret_scan.redact(text, secret_scan.default_vocabulary()) == "a [SECRET] b [SECRET] c"
@@ -198,6 +258,40 @@ def test_language_held_out(spark) -> None:
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def invented(rng, letters: str, n: int) -> str:
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_languages_of_one_family_and_of_others(spark) -> None:
+    """Four Romance languages and one outside; one has a text of many copies, which mustn't crowd its other texts out."""
+    rng = random.Random(3)
+    letters = {"fr": "aeiouyzbcd", "es": "aeioumnlrs", "it": "aeioupqtvg", "ro": "aeioufhjkw", "fi": "äöyktpvhjl"}
+    rows = [(i, invented(rng, letters[lang], 40), lang) for i, lang in enumerate(sorted(letters) * 60)]
+    rows += [(1000 + i, "le meme texte encore", "fr") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(table, sample=40)
+    assert [len(model.langs[f][1]) for f in sorted(model.langs)] == [6, 0]  # Romance, Uralic
+    held = [r for r in language.languages(table, model).join(table.select("doc_id", "lang"), "doc_id").collect() if r["held_out"] and r["doc_id"] < 1000]
+    assert len({r["lang"] for r in held}) == 5 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+    assert all(r["score"] > 0.2 for r in held)
+
+
+def test_many_languages_are_bounded(spark, monkeypatch) -> None:
+    monkeypatch.setattr(language, "LANGUAGES", 5)
+    monkeypatch.setattr(language, "SAMPLE_OF_ALL", 20)
+    table = docs(spark, [(i, f"some text number {i}") for i in range(400)]).withColumn("lang", F.concat(F.lit("x"), (F.col("doc_id") % 40).cast("string")))
+    model = language.train(table)
+    assert len(model.families) <= 5 and language.languages(table, model).count() == 400
+
+
+def test_duels(monkeypatch) -> None:
+    """The winner of most duels is the prediction, and its closest duel the score."""
+    weights = np.zeros((3, language.FEATURES + 1))
+    weights[:, -1] = 1.0, 1.0, -2.0  # a beats b and c, c beats b
+    model = language.Model(("f",), np.zeros((1, language.FEATURES + 1)), {"f": (("a", "b", "c"), weights)})
+    assert model.predict("text") == ("a", pytest.approx(1 / (1 + np.exp(-6.0))))
+
+
 def test_language_sees_the_text_only(spark) -> None:
     table = spark.read.parquet(f"{DIR}/documents.parquet")
     model = language.train(table)
@@ -247,6 +341,30 @@ def test_licences(spark) -> None:
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def test_licences_wrapped_and_named(spark) -> None:
+    """A text's digest doesn't depend on where its lines end, nor on who holds the copyright, with a year or without."""
+    bsd = f"{license_scan.BSD_GRANT} {license_scan.BSD_THIRD} {license_scan.BSD_REST}".replace("\n", " ")
+    rows = [(n, "Copyright Ann Other\n\n" + textwrap.fill(bsd, n)) for n in range(40, 120, 7)]
+    rows += [(200, "All\nRights\nReserved\n" + bsd), (201, "Copyright by Ann\n" + bsd.replace("copyright holder", "copyright\nowner")), (202, "Copyright Holder\n" + bsd)]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.license_scan(docs(spark, rows)).collect()}
+    assert got == {i: "BSD-3-Clause" if i != 202 else None for i, _ in rows}
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="the texts aren't on this machine")
+def test_full_texts_of_long_licences(spark) -> None:
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {}
+    for name in names:
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as file:
+            texts[name] = file.read()
+    rows = [(n, t) for n, t in enumerate(texts.values())] + [(100 + n, " ".join(t.split())) for n, t in enumerate(texts.values()) if "opyright (C)" not in t]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.license_scan(docs(spark, rows)).collect()}
+    assert [got[n] for n in range(len(texts))] == list(names.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES " + ",".join("(?, ?)" for _ in rows) + ") t(doc_id, text)", [x for r in rows for x in r])
+    assert {r[0]: r[2] for r in con.sql(license_scan.oracle()).fetchall()} == got
+
+
 # Fingerprints
 
 
@@ -278,6 +396,45 @@ def test_fingerprints_against_sets(spark) -> None:
     assert got[40]["fingerprint"] == got[42]["fingerprint"] == ""
 
 
+def brute_sketch(text: str, scale: int = fingerprint.SCALE) -> list[int]:
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split(r"[^a-z0-9]+", text.lower()) if x]
+    out = set()
+    for k in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in w[k : k + 5]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        out.add(signed(h))
+    low = {x for x in out if x < -(1 << 63) + (1 << 64) // scale}
+    return sorted(low) if low else sorted(out)[:1]
+
+
+def test_sketches_against_brute_force(spark) -> None:
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(3))
+    base = [word() for _ in range(3000)]
+    rows = [(i, " ".join(base[a : a + n])) for i in range(40) for a, n in [(rng.randrange(2000), rng.choice([0, 2, 5, 9, 60, 600]))]] + [(50, " ".join(base * 30)), (51, None), (51, "x y")]
+    order = sorted(((i, t or "") for i, t in rows))
+    got = sorted(fingerprint.against_edit(docs(spark, rows)).collect(), key=lambda r: (r["doc_id"], r["n_chars"]))
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    hexed = lambda a: ",".join(f"{x % (1 << 64):016x}" for x in a)
+    for k, ((i, text), r) in enumerate(zip(order, got, strict=True)):
+        nxt, quarter = order[(k + 1) % len(order)][1], len(text) // 4
+        a, b, c = (brute_sketch(t) for t in (text, text[: len(text) - quarter] + nxt[:quarter], nxt))
+        assert (r["doc_id"], r["fingerprint"], r["edited_fingerprint"]) == (i, hexed(a), hexed(b))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(a, b)), pytest.approx(like(a, c)))
+
+
+def test_containment_of_short_texts(spark) -> None:
+    """A text wholly in another one is held by it, or, where no hash of it lies below the threshold, nothing is said."""
+    rng = random.Random(12)
+    long = [str(rng.randrange(10**6)) for _ in range(5000)]
+    parts = [(i, " ".join(long[a : a + 6 + i % 20])) for i in range(60) for a in [rng.randrange(4900)]] + [(100, ""), (101, "?!")]
+    frame = docs(spark, parts).select("doc_id", fingerprint.sketch(F.col("text")).alias("a"), fingerprint.sketch(F.lit(" ".join(long))).alias("b"))
+    held = {r["doc_id"]: r["held"] for r in frame.select("doc_id", fingerprint.containment(F.col("a"), F.col("b")).alias("held")).collect()}
+    assert set(held.values()) == {1.0, None} and held[100] == held[101] == 1.0 and sum(v == 1.0 for v in held.values()) > 20
+
+
 def test_fingerprints_of_many_ranges(spark, monkeypatch) -> None:
     monkeypatch.setattr(fingerprint, "DOCS_A_RANGE", 7)
     rows = [(i * i, f"text number {i} of these") for i in range(100)] + [(None, "nothing"), (9, "again nine")]
@@ -337,6 +494,32 @@ def test_products_are_associative() -> None:
     assert product(product(m[0], m[1]), m[2]) == product(m[0], product(m[1], m[2]))
 
 
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_borders_by_blocks_are_those_of_one_walk(block) -> None:
+    vocab = sentence_pieces.vocabulary(sentence_pieces.default_vocabulary())
+    whole = sentence_pieces.escaped("internationalization of things and others, unbelievably " * 8)
+    m = []
+    for low in range(0, len(whole), 17):
+        from_, high = max(0, low - vocab.longest), min(low + 17, len(whole))
+        m.append(sentence_pieces.matrix(vocab, whole[from_ : high + vocab.longest], low - from_, high - from_, low == 0))
+    whole_way = sentence_pieces.states(m)
+    blocks = [m[k : k + block] for k in range(0, len(m), block)]
+    ends = sentence_pieces.states([sentence_pieces.combined(b) for b in blocks])
+    got = [s for b, left, right in zip(blocks, [(0, 0), *ends[:-1]], ends) for s in sentence_pieces.states(b, left, right)]
+    assert got == whole_way and ends == whole_way[block - 1 :: block] + ([whole_way[-1]] if len(m) % block else [])
+
+
+def test_production_chunks_give_the_librarys_ids(spark) -> None:
+    """At the query's own CHUNK: texts of several chunks, words without blanks among them, and more chunks than a block has."""
+    vocab = sentence_pieces.vocabulary(sentence_pieces.default_vocabulary())
+    rng, n = random.Random(5), sentence_pieces.CHUNK
+    mixed = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 12))) for _ in range(3 * n // 6))
+    rows = [(1, mixed), (2, "ab" * n), (3, "".join(rng.choice("etaoin") for _ in range(2 * n + 5))), (4, "x" * n), (5, "é" * (n - 1)), (6, (mixed * 30)[: 70 * n])]
+    got = {r["doc_id"]: r for r in sentence_pieces.encoded(docs(spark, rows)).collect()}
+    for i, text in rows:
+        assert got[i]["ids"] == vocab.library.encode(text) and got[i]["round_trip"] and got[i]["n_chars"] == len(text)
+
+
 def test_encoded_tables(spark) -> None:
     vocab = sentence_pieces.vocabulary(sentence_pieces.default_vocabulary())
     rows = [*ODD, (7, "many words here " * 300), (8, "y" * 3000)]
