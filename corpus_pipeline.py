@@ -13,21 +13,15 @@ from pyspark.sql import functions as F
 
 from chunkwright.llm import common, language, near_dedup, packing, secret_scan, substring_dedup
 
-#: A prediction with a lower score is no language's text. Two languages that are equally likely have 0.5.
-LEAST_SCORE = 0.2
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that no language's model takes, go. Models are trained on ``docs``."""
+    """Documents that are no language's text (null, or without a letter) go. The model is trained on ``docs``; where no row has a label there is none, and all stay."""
     model = language.train(docs)
+    if not model.families:
+        return docs
 
     def judged(batch: list) -> list[tuple]:
-        out = []
-        for row in batch:
-            lang, score = model.predict(row[at])
-            if lang != language.REJECTED and score >= LEAST_SCORE:
-                out.append(row)
-        return out
+        return [row for row in batch if model.predict(row[at])[0] != language.REJECTED]
 
     at = docs.columns.index("text")
     return common.map_rows(docs, judged, docs.schema)
