@@ -3,6 +3,8 @@
 Each gives ``path``, ``ordinal``, ``offset``, ``len``, ``id``, in bytes; an empty blob is one chunk of no length. The
 content-defined one is written after the FastCDC paper: a gear hash, a stricter mask before the average size and a
 looser one after it, a least and a most.
+
+A ``Chunker`` says where a blob is cut; ``chunked`` applies any of them.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -23,6 +26,8 @@ CHUNKS = "path string, ordinal int, offset long, len long, id string"
 
 #: A value for each byte; any fixed random table does.
 GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: Bytes that the hash sees, and that one step of it holds at once.
+WINDOW, SLICE = 32, 1 << 22
 
 
 @dataclasses.dataclass(frozen=True)
@@ -42,23 +47,37 @@ def fixed_chunks(blobs: DataFrame, size: int) -> DataFrame:
 
 
 def line_chunks(texts: DataFrame) -> DataFrame:
-    """One chunk a line of a text (``path``, ``text``), without its line end; offsets count the ends. JVM-side."""
-    lines = F.split("text", "\n")
-    ends = F.expr("aggregate(transform(split(text, '\\n'), l -> octet_length(l)), array(0L), (a, n) -> concat(a, array(element_at(a, -1) + n + 1)))")
-    rows = texts.select("path", F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(ends, 1, F.size(lines)).alias("offset"))).alias("ordinal", "c"))
-    return rows.select("path", "ordinal", F.col("c.offset").alias("offset"), F.octet_length("c.line").cast("long").alias("len"), F.sha2("c.line", 256).alias("id"), F.col("c.line").alias("line"))
+    """One chunk a line of a text (``path``, ``text``), without its line end; offsets count the ends. JVM-side.
+
+    Offsets are running sums over a path's lines; where nobody asks for them there is no shuffle."""
+    rows = texts.select("path", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    rows = rows.select("path", "ordinal", F.octet_length("line").cast("long").alias("len"), F.sha2("line", 256).alias("id"), "line")
+    before = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum(F.col("len") + 1).over(before), F.lit(0))).select("path", "ordinal", "offset", "len", "id", "line")
 
 
 def gear(data: np.ndarray) -> np.ndarray:
     """At each byte the gear hash of the 32 bytes up to it; a window over the whole blob, so it doesn't start anew at a cut."""
     h = GEAR[data]
     step = 1
-    while step < 32:
+    while step < WINDOW:
         h[step:] += h[:-step] << np.uint32(step)
         step *= 2
     return h
 
 
+def marks(data: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the hash lets a chunk end, by the looser mask and by the stricter one; a slice at a time."""
+    loose, strict = [], []
+    for at in range(0, len(data), SLICE):
+        start = max(0, at - WINDOW + 1)
+        h = gear(data[start : at + SLICE])[at - start :]
+        hit = np.flatnonzero((h >> np.uint32(max(0, 32 - bits + 1))) == 0)
+        loose.append(hit + at + 1)
+        strict.append(hit[(h[hit] >> np.uint32(max(0, 32 - bits - 1))) == 0] + at + 1 if bits < 31 else hit + at + 1)
+    return np.concatenate(loose), np.concatenate(strict)
+
+
 def cut(data: bytes, sizes: Sizes, window: int | None = None) -> list[int]:
     """Ends of the chunks of ``data``; with ``window`` also cut at each multiple of it (for very large blobs)."""
     n = len(data)
@@ -66,10 +85,7 @@ def cut(data: bytes, sizes: Sizes, window: int | None = None) -> list[int]:
         return [0]
     if window and n > window:
         return [at + end for at in range(0, n, window) for end in cut(data[at : at + window], sizes)]
-    bits = max(1, int(sizes.average).bit_length() - 1)
-    h = gear(np.frombuffer(data, np.uint8))
-    loose = np.flatnonzero((h >> np.uint32(max(0, 32 - bits + 1))) == 0) + 1
-    strict = loose[(h[loose - 1] >> np.uint32(max(0, 32 - bits - 1))) == 0] if bits < 31 else loose
+    loose, strict = marks(np.frombuffer(data, np.uint8), max(1, int(sizes.average).bit_length() - 1))
     ends, start = [], 0
     while start < n:
         stop = min(n, start + sizes.most)
@@ -86,15 +102,50 @@ def cut(data: bytes, sizes: Sizes, window: int | None = None) -> list[int]:
     return ends
 
 
-def content_chunks(blobs: DataFrame, sizes: Sizes = Sizes(), small: int = schemas.SMALL_FILE, large: int = schemas.LARGE_FILE, window: int = schemas.LARGE_WINDOW) -> DataFrame:
-    """Content-defined chunks with their ids; a blob of up to ``small`` bytes is one chunk, whose id is the blob's."""
+class Chunker(Protocol):
+    """Says where a blob is cut: ends of its chunks, the last is its length (an empty one has the end 0)."""
+
+    def ends(self, data: bytes) -> list[int]: ...
+
+
+@dataclasses.dataclass(frozen=True)
+class Fixed:
+    size: int
+
+    def ends(self, data: bytes) -> list[int]:
+        return [*range(self.size, len(data), self.size), len(data)]
+
+
+@dataclasses.dataclass(frozen=True)
+class Lines:
+    """A line with its end is a chunk."""
+
+    def ends(self, data: bytes) -> list[int]:
+        out = (np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1).tolist()
+        return out if out and out[-1] == len(data) else [*out, len(data)]
+
+
+@dataclasses.dataclass(frozen=True)
+class Gear:
+    """Content-defined; from ``large`` bytes on also cut at each multiple of ``window``."""
+
+    sizes: Sizes = Sizes()
+    large: int = schemas.LARGE_FILE
+    window: int = schemas.LARGE_WINDOW
+
+    def ends(self, data: bytes) -> list[int]:
+        return cut(data, self.sizes, self.window if len(data) >= self.large else None)
+
+
+def chunked(blobs: DataFrame, chunker: Chunker, small: int = -1) -> DataFrame:
+    """``blobs`` (``path``, ``content``) cut by ``chunker``; a blob of up to ``small`` bytes is one chunk, whose id is the blob's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_py() or b""
-                ends = [len(data)] if len(data) <= small else cut(data, sizes, window if len(data) >= large else None)
+                ends = [len(data)] if len(data) <= small else chunker.ends(data)
                 for n, (start, end) in enumerate(zip([0, *ends], ends)):
                     out.append((path.as_py(), n, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
             if out:
@@ -103,6 +154,11 @@ def content_chunks(blobs: DataFrame, sizes: Sizes = Sizes(), small: int = schema
     return blobs.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, CHUNKS)
 
 
+def content_chunks(blobs: DataFrame, sizes: Sizes = Sizes(), small: int = schemas.SMALL_FILE, large: int = schemas.LARGE_FILE, window: int = schemas.LARGE_WINDOW) -> DataFrame:
+    """Content-defined chunks with their ids; a blob of up to ``small`` bytes is one chunk."""
+    return chunked(blobs, Gear(sizes, large, window), small)
+
+
 def refs(chunks: DataFrame) -> DataFrame:
     """``path``, ``chunks``: the references of each blob in order."""
     ref = F.struct("ordinal", "id", "offset", "len", F.col("len").alias("raw_len"))

@@ -22,9 +22,8 @@ def missing_chunks(refs: DataFrame, store: DataFrame) -> DataFrame:
 def reassembled(refs: DataFrame, store: DataFrame) -> DataFrame:
     """``path``, ``content``: the chunks of each file put together in order. A file with a missing chunk is left out."""
     rows = refs.join(store.select("id", "data"), "id", "left")
-    parts = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", F.coalesce("data", F.lit("").cast("binary")).alias("data")))).alias("parts"), F.bool_and(F.col("data").isNotNull()).alias("whole"))
-    joined = F.aggregate("parts", F.lit("").cast("binary"), lambda so_far, p: F.concat(so_far, p["data"]))
-    return parts.where("whole").select("path", joined.alias("content"))
+    whole = F.bool_and(F.col("data").isNotNull()).alias("whole")
+    return rows.groupBy("path").agg(F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY offset)").alias("content"), whole).where("whole").select("path", F.coalesce("content", F.lit("").cast("binary")).alias("content"))
 
 
 def wrong_files(files: DataFrame, refs: DataFrame, store: DataFrame) -> DataFrame:
