@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import streaming
 from ..operators import chunking, history, ingest, integrity, locks, patterns, reporting, store, sync, workspace
-from ..sources import tables
-from ..sources.shared import shared_folder
+from ..sources import files, tables
+from ..sources.shared import cut_lineage, shared_folder
 from ..sources.tables import SQL, blobs, snapshot, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +38,10 @@ def blob_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT path, CAST(n // 4096 AS INTEGER) AS ordinal, n AS "offset", CAST(octet_length(part) AS BIGINT) AS len, sha256(part) AS id
-FROM (SELECT path, n, array_to_string(list_transform(range(n, least(n + 4096, size)), lambda i: chr(97 + CAST(i % 26 AS INTEGER))), '')::BLOB AS part FROM blobs, range(0, greatest(size, 1), 4096) t(n))""")
+FROM (SELECT path, n, encode(text)[n + 1:n + 4096] AS part FROM blobs, range(0, greatest(size, 1), 4096) t(n))""")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blobs of each document's size in a pattern of letters, so that both engines cut bytes and not characters."""
-    content = F.substring(F.repeat(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.col("size") / 26).cast("int") + 1), F.lit(1), F.col("size").cast("int"))
-    return chunking.fixed_chunks(blobs(spark, sf_dir).select("path", content.cast("binary").alias("content")), 4096)
+    """Bytes, not characters, are cut."""
+    return chunking.fixed_chunks(blobs(spark, sf_dir).select("path", F.col("text").cast("binary").alias("content")), 4096)
 
 
 LINES = """, parts AS (SELECT path, source, doc_id, string_split(text, chr(10)) AS p FROM blobs),
@@ -56,18 +55,23 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.line_chunks(blobs(spark, sf_dir)).drop("line")
 
 
-@query("SELECT path, size, TRUE AS tiles, TRUE AS sizes_hold, TRUE AS same_again FROM blobs")
+def _put_together(blobs_: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``path``, ``file_digest`` of the bytes that the chunks (``path``, ``offset``, ``len``, ``id``) have, looked up by id and put together in order."""
+    data = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("len").cast("int"))
+    held = chunks.join(blobs_.select("path", "content"), "path").select("id", data.alias("data")).dropDuplicates(["id"])
+    return integrity.reassembled(chunks.select("path", "id", "offset"), held).select("path", F.sha2("content", 256).alias("file_digest"))
+
+
+@query("SELECT path, size, CAST(ceil(greatest(size, 1) / 4096.0) AS BIGINT) AS least_chunks, TRUE AS sizes_hold, sha256(text) AS file_digest FROM blobs")
 def cdc_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content-defined chunks tile each blob, keep to their least and most (but the last) and come out alike twice."""
-    sizes = chunking.Sizes(256, 1024, 4096)
+    """Content-defined chunks, looked up by id, give each blob's bytes again; they keep to their least and most (but the last), and are enough."""
     rows = blobs(spark, sf_dir).select("path", F.col("text").cast("binary").alias("content"), "size")
-    chunks = chunking.content_chunks(rows, sizes, small=0)
-    again = chunking.content_chunks(rows.orderBy(F.desc("path")), sizes, small=0)
+    chunks = cut_lineage(chunking.content_chunks(rows, chunking.Sizes(256, 1024, 4096), small=0))
     order = Window.partitionBy("path").orderBy(F.desc("offset"))
-    holds = chunks.withColumn("last", F.row_number().over(order) == 1).groupBy("path").agg(F.bool_and((F.col("len") <= 4096) & (F.col("last") | (F.col("len") >= 256))).alias("sizes_hold"))
-    marks = lambda c, name: c.groupBy("path").agg(F.sum(F.xxhash64("offset", "id").cast("decimal(38,0)")).alias(name))
-    out = rows.select("path", "size").join(integrity.tiling(chunks, rows.select("path", "size")).select("path", "tiles"), "path").join(holds, "path")
-    return out.join(marks(chunks, "x"), "path").join(marks(again, "y"), "path").select("path", "size", "tiles", "sizes_hold", (F.col("x") == F.col("y")).alias("same_again"))
+    holds = chunks.withColumn("last", F.row_number().over(order) == 1).groupBy("path").agg(F.bool_and((F.col("len") <= 4096) & (F.col("last") | (F.col("len") >= 256))).alias("sizes_hold"), F.sum("len").alias("total"), F.count("*").alias("n"))
+    least = F.ceil(F.greatest("total", F.lit(1)) / 4096)
+    out = holds.select("path", F.col("total").alias("size"), F.when(F.col("n") >= least, least).alias("least_chunks"), "sizes_hold")
+    return out.join(_put_together(rows, chunks), "path")
 
 
 REPORT = "CAST(count(*) AS BIGINT) AS total_chunks, CAST(count(DISTINCT id) AS BIGINT) AS distinct_chunks, CAST(sum(len) AS BIGINT) AS total_bytes"
@@ -87,15 +91,16 @@ def dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.groupBy("source").agg(F.sum("n").alias("total_chunks"), F.count("*").alias("distinct_chunks"), F.sum(F.col("n") * F.col("len")).alias("total_bytes"))
 
 
-@query("""SELECT path, CAST(size // 64 * 64 AS BIGINT) AS kept, CAST(len(range(0, size // 64 * 64, 64)) AS BIGINT) AS n_kept, TRUE AS tiles FROM blobs WHERE size > 0 AND doc_id % 10 = 0""")
+@query("""SELECT path, CAST(size // 64 * 64 AS BIGINT) AS kept, CAST(len(range(0, size // 64 * 64, 64)) AS BIGINT) AS n_kept, sha256(text) AS file_digest FROM blobs""")
 def boundary_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A blob whose end was taken off keeps the boundaries (each 64 bytes here) within its new size; the rest is chunked anew."""
-    rows = blobs(spark, sf_dir).where("size > 0 AND doc_id % 10 = 0")
+    rows = blobs(spark, sf_dir).select("path", "size", F.col("text").cast("binary").alias("content"))
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") + 64, F.lit(64).cast("long"))
     previous = rows.select("path", F.transform(starts, lambda at: F.struct(F.lit("").alias("id"), at.alias("offset"), F.lit(64).cast("long").alias("len"))).alias("chunks"))
-    new = chunking.boundary_reuse(rows.select("path", F.col("text").cast("binary").alias("content")), previous, chunking.Sizes(16, 32, 64))
+    new = cut_lineage(chunking.boundary_reuse(rows.select("path", "content"), previous, chunking.Sizes(16, 32, 64)))
     kept = previous.join(rows.select("path", "size"), "path").select("path", chunking.resume_offset(F.col("chunks"), F.col("size")).alias("kept"), F.size(chunking.reused_prefix(F.col("chunks"), F.col("size"))).cast("long").alias("n_kept"))
-    return kept.join(integrity.tiling(new, rows.select("path", "size")).select("path", "tiles"), "path")
+    whole = _put_together(rows, new).join(rows.where("size = 0").select("path"), "path", "left_anti")
+    return kept.join(whole.unionByName(rows.where("size = 0").select("path", F.sha2("content", 256).alias("file_digest"))), "path")
 
 
 # Filters
@@ -142,9 +147,12 @@ def path_args_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, lambda p: patterns.in_paths(p, ("en/src1/", ".", "fr"), "remote"))
 
 
-@query("SELECT pattern FROM (VALUES ('a/b'), ('a/b/...'), ('c.txt'), ('c.txt/...')) t(pattern)", "")
+@query("SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) || tail AS pattern FROM blobs, (VALUES (''), ('/...')) t(tail)")
 def include_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.include_patterns(spark.createDataFrame([("./a\\b/",), ("c.txt",), (".",), ("a/b",)], "path string"))
+    """A folder that is asked for stands for itself and for what is below it, whichever way it is written."""
+    folder = F.regexp_extract("path", "^(.*)/", 1)
+    asked = blobs(spark, sf_dir).select(F.explode(F.array(folder, F.concat(F.lit("./"), F.translate(folder, "/", "\\"), F.lit("/")))).alias("path"))
+    return patterns.include_patterns(asked.unionByName(spark.createDataFrame([(".",)], "path string")))
 
 
 # Ingest
@@ -198,31 +206,36 @@ def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Store
 
-IDS = LINES + ", have AS (SELECT DISTINCT id, len FROM lines WHERE doc_id % 2 = 0), want AS (SELECT DISTINCT id, len FROM lines WHERE doc_id % 3 = 0)\n"
+#: All chunks are asked for; the other side has those of snapshot A.
+IDS = LINES + ", have AS (SELECT DISTINCT id, len FROM lines WHERE path IN (SELECT path FROM snap_a)), want AS (SELECT DISTINCT id, len FROM lines)\n"
+
+
+def _want(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.line_chunks(blobs(spark, sf_dir)).select("id", F.col("len").alias("raw_len"))
 
 
-def _ids(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
-    return chunking.line_chunks(blobs(spark, sf_dir).where(F.col("doc_id") % step == 0)).select("id", F.col("len").alias("raw_len"))
+def _have(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.line_chunks(snapshot(spark, sf_dir, "a")).select("id", F.col("len").alias("raw_len"))
 
 
 @query(IDS + "SELECT id FROM want WHERE id NOT IN (SELECT id FROM have)")
 def missing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.missing(_ids(spark, sf_dir, 3), _ids(spark, sf_dir, 2))
+    return store.missing(_want(spark, sf_dir), _have(spark, sf_dir))
 
 
 @query(IDS + "SELECT id FROM want WHERE id IN (SELECT id FROM have)")
 def has_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.present(_ids(spark, sf_dir, 3), _ids(spark, sf_dir, 2))
+    return store.present(_want(spark, sf_dir), _have(spark, sf_dir))
 
 
 @query(IDS + "SELECT id, len AS raw_len, id NOT IN (SELECT id FROM have) AS was_new FROM want")
 def put_was_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.put_results(_ids(spark, sf_dir, 3), _ids(spark, sf_dir, 2))
+    return store.put_results(_want(spark, sf_dir), _have(spark, sf_dir))
 
 
 @query(IDS + "SELECT min(id) AS id FROM want WHERE id NOT IN (SELECT id FROM have)")
 def fetch_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.first_missing(_ids(spark, sf_dir, 3), _ids(spark, sf_dir, 2))
+    return store.first_missing(_want(spark, sf_dir), _have(spark, sf_dir))
 
 
 @query("""SELECT id, source, CASE source WHEN 'segment' THEN printf('%08d.seg:%d', segment_id, o) WHEN 'legacy' THEN 'objects/' || id END AS place FROM (
@@ -235,9 +248,9 @@ def resolve_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.resolve(refs, kept, legacy)
 
 
-@query(IDS + "SELECT CAST(count(*) AS BIGINT) AS object_count, CAST(sum(len) AS BIGINT) AS object_bytes FROM have")
+@query(IDS + "SELECT CAST(count(*) AS BIGINT) AS object_count, CAST(sum(len) AS BIGINT) AS object_bytes FROM want")
 def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.stats(_ids(spark, sf_dir, 2).distinct().withColumnRenamed("raw_len", "stored_len"))
+    return store.stats(_want(spark, sf_dir).distinct().withColumnRenamed("raw_len", "stored_len"))
 
 
 PAGING = """, rows AS (SELECT {group} AS grp, {key} AS k, {size} AS n, row_number() OVER (PARTITION BY {group} ORDER BY {key}) AS i FROM {table}),
@@ -262,12 +275,13 @@ def segment_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.segments(rows, 65536, 8)
 
 
-@query("""SELECT path, TRUE AS has_more, i AS next_offset FROM (SELECT path, size, max(i) OVER () AS i FROM (
-SELECT path, size, i FROM (SELECT path, size, row_number() OVER (ORDER BY path) AS i, sum(octet_length(encode(path)) + 64 + 104 + 64) OVER (ORDER BY path) - 0 AS used FROM (SELECT * FROM blobs ORDER BY path OFFSET 10)) WHERE used <= 4096)) t(path, size, j), (SELECT CAST(10 + count(*) AS INTEGER) AS i FROM (
-SELECT sum(octet_length(encode(path)) + 232) OVER (ORDER BY path) AS used FROM (SELECT * FROM blobs ORDER BY path OFFSET 10)) WHERE used <= 4096) n""")
+@query(FILES + """, numbered AS (SELECT path, entry_bytes, row_number() OVER (ORDER BY path) - 1 AS i FROM files),
+page AS (SELECT path, i, sum(entry_bytes) OVER (ORDER BY path) AS used FROM numbered WHERE i >= 10)
+SELECT path, (SELECT max(i) FROM page WHERE used <= 65536 OR i = 10) < (SELECT max(i) FROM numbered) AS has_more, CAST((SELECT max(i) + 1 FROM page WHERE used <= 65536 OR i = 10) AS INTEGER) AS next_offset
+FROM page WHERE used <= 65536 OR i = 10""")
 def manifest_page_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = blobs(spark, sf_dir).select(F.lit("c").alias("commit_id"), "path", fn.blob_id(F.col("text")).alias("file_digest"), F.lit(1).alias("n_chunks"))
-    return store.page_at(files, 10, 4096).select("path", "has_more", "next_offset")
+    files = blobs(spark, sf_dir).select(F.lit("c").alias("commit_id"), "path", fn.blob_id(F.col("text")).alias("file_digest"), F.size(F.split("text", "\n")).alias("n_chunks"))
+    return store.page_at(files, 10, 65536).select("path", "has_more", "next_offset")
 
 
 @query("SELECT DISTINCT sha256(text) AS id FROM blobs")
@@ -369,7 +383,7 @@ def materialized_after_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS folder FROM snap_b")
 def checkout_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot(spark, sf_dir, "b").select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct().orderBy("folder")
+    return files.folders(snapshot(spark, sf_dir, "b")).orderBy("folder")
 
 
 # Integrity
@@ -392,16 +406,14 @@ def fsck_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.missing_chunks(tables.manifests(spark, sf_dir).select("path", "id"), held).select("path", "id")
 
 
-@query("SELECT min(path) AS path, file_digest FROM snap_a WHERE doc_id % 10 = 0 GROUP BY file_digest")
+@query("SELECT min(path) AS path, file_digest FROM snap_a WHERE file_digest IN (SELECT file_digest FROM snap_a WHERE doc_id % 10 = 0) GROUP BY file_digest")
 def fsck_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored blob is hashed; each tenth has a character too many: those digests, once each, are wrong. Other paths of
-    a damaged content would be reported for it, so they aren't among the files."""
+    """Every stored blob of snapshot A is hashed; those of each tenth document have a character too many: their digests, once each, are wrong."""
     a = snapshot(spark, sf_dir, "a")
     bad = a.where("doc_id % 10 = 0").select("file_digest").distinct().withColumn("bad", F.lit(True))
-    files = a.join(bad, "file_digest", "left").where("doc_id % 10 = 0 OR bad IS NULL")
-    held = files.select(F.col("file_digest").alias("id"), F.when(F.col("bad"), F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("data")).dropDuplicates(["id"])
-    refs = files.select("path", F.col("file_digest").alias("id"), F.lit(0).cast("long").alias("offset"))
-    return integrity.wrong_files(files, refs, held)
+    held = a.dropDuplicates(["file_digest"]).join(bad, "file_digest", "left").select(F.col("file_digest").alias("id"), F.when(F.col("bad"), F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("data"))
+    refs = a.select("path", F.col("file_digest").alias("id"), F.lit(0).cast("long").alias("offset"))
+    return integrity.wrong_files(a, refs, held)
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(count(l.l_orderkey) AS BIGINT) AS n_chunks, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS total, count(l.l_orderkey) > 0 AS tiles
@@ -443,8 +455,12 @@ def commits_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.log(_commits(spark, sf_dir), _head(spark, sf_dir), stop=_head(spark, sf_dir, 5), most=32)
 
 
-@query(COMMITS + "SELECT 'yes' AS back, 'no' AS forth, 'unknown' AS cut", "")
+@query(COMMITS + """, ends AS (SELECT (SELECT id FROM chain WHERE depth = 0) AS new, (SELECT id FROM chain WHERE depth <= 5 ORDER BY depth DESC LIMIT 1) AS old, (SELECT id FROM chain WHERE depth <= 3 ORDER BY depth DESC LIMIT 1) AS gone),
+older AS (SELECT c.id FROM chain c, chain o, ends WHERE o.id = ends.old AND c.depth >= o.depth)
+SELECT CASE WHEN EXISTS (SELECT 1 FROM chain, ends WHERE chain.id = ends.old) THEN 'yes' ELSE 'no' END AS back, CASE WHEN (SELECT new FROM ends) IN (SELECT id FROM older) THEN 'yes' ELSE 'no' END AS forth,
+CASE WHEN EXISTS (SELECT 1 FROM chain g, chain o, ends WHERE g.id = ends.gone AND o.id = ends.old AND g.depth < o.depth) THEN 'unknown' ELSE 'yes' END AS cut""", "")
 def is_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the head and the fifth commit before it, both ways; and where a commit between them isn't there."""
     commits, new, old = _commits(spark, sf_dir), _head(spark, sf_dir), _head(spark, sf_dir, 5)
     cut = commits.where(F.col("id") != _head(spark, sf_dir, 3))
     a, b, c = (history.is_ancestor(x, y, z).select(F.col("answer").alias(n)) for x, y, z, n in ((commits, old, new, "back"), (commits, new, old, "forth"), (cut, old, new, "cut")))
@@ -471,23 +487,24 @@ def commit_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(IDS + "SELECT 'h' AS new_head, CAST(1 AS BIGINT) AS commit_count, CAST(count(*) AS BIGINT) AS chunk_count FROM want WHERE id NOT IN (SELECT id FROM have)")
 def push_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = chunking.line_chunks(blobs(spark, sf_dir).where("doc_id % 3 = 0"))
+    lines = chunking.line_chunks(blobs(spark, sf_dir))
     files = lines.groupBy("path").agg(F.collect_list(F.struct("id")).alias("chunks")).withColumn("commit_id", F.lit("h"))
     chain = spark.createDataFrame([("h",)], "id string")
-    return sync.push_report(chain, sync.push_chunks(files, chain, _ids(spark, sf_dir, 2)), "h")
+    return sync.push_report(chain, sync.push_chunks(files, chain, _have(spark, sf_dir)), "h")
 
 
-@query(IDS + "SELECT DISTINCT id FROM lines WHERE doc_id % 3 = 0 AND (path LIKE 'en/%' OR path LIKE 'fr/src1/%') AND id NOT IN (SELECT id FROM have)")
+@query(IDS + "SELECT DISTINCT id FROM lines WHERE (path LIKE 'en/%' OR path LIKE 'fr/src1/%') AND id NOT IN (SELECT id FROM have)")
 def pull_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = chunking.line_chunks(blobs(spark, sf_dir).where("doc_id % 3 = 0"))
+    lines = chunking.line_chunks(blobs(spark, sf_dir))
     files = lines.groupBy("path").agg(F.collect_list(F.struct("id")).alias("chunks"), F.sum("len").alias("size"))
-    return sync.to_fetch(files, _ids(spark, sf_dir, 2), ("en", "fr/src1"))
+    return sync.to_fetch(files, _have(spark, sf_dir), ("en", "fr/src1"))
 
 
-@query("SELECT path, size FROM snap_b WHERE path LIKE 'en/%' AND size <= 262144 AND FALSE")
+@query("SELECT path, size FROM (SELECT regexp_replace(regexp_replace(path, '^en/src1', 'code/x'), '^en/', 'config/') AS path, size FROM snap_b) WHERE (path LIKE 'code/%' OR (path LIKE 'config/%' AND NOT path LIKE 'config/src2/%')) AND size <= 262144")
 def remote_manifest_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot files are code and config, of which the documents have none."""
-    return sync.visible_manifest(snapshot(spark, sf_dir, "b"), ("en/...",), (), hot_only=True).select("path", "size")
+    """Hot files are code and config: here the English documents."""
+    files = snapshot(spark, sf_dir, "b").withColumn("path", F.regexp_replace(F.regexp_replace("path", "^en/src1", "code/x"), "^en/", "config/"))
+    return sync.visible_manifest(files, ("code/...", "config/...", "de/..."), ("config/src2/...",), hot_only=True).select("path", "size")
 
 
 # Locks and access
@@ -661,10 +678,10 @@ def last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.last_segment(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("segment_id")))
 
 
-@query("SELECT path, size FROM blobs WHERE path LIKE 'en/%' AND size <= 3000")
+@query("SELECT path, size FROM blobs WHERE path LIKE 'en/%' AND NOT path LIKE 'en/src3/%'")
 def remote_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A remote's files in view that are small enough to come at once."""
-    return sync.visible_manifest(blobs(spark, sf_dir), ("en/...",), ()).where("size <= 3000").select("path", "size")
+    """A remote's files in view."""
+    return sync.visible_manifest(blobs(spark, sf_dir), ("en/...",), ("en/src3/...",)).select("path", "size")
 
 
 @query(LINES + "SELECT path, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(len) AS BIGINT) AS raw_len, string_agg(substr(id, 1, 4), '' ORDER BY ordinal) AS marks FROM lines GROUP BY path")
