@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import functions as fn
+
 LOCK, UNLOCK = "lock", "unlock"
 OUTCOMES = "path string, seq long, op string, owner string, outcome string, holder string"
 
@@ -89,3 +91,27 @@ def problems(identities: DataFrame, acl: DataFrame) -> DataFrame:
     twice = identities.groupBy("token").count().where("count > 1").select(F.lit("duplicate token").alias("problem"), F.col("token").alias("subject"))
     unknown = acl.select("identity").distinct().join(identities.select("identity"), "identity", "left_anti").select(F.lit("unknown user").alias("problem"), F.col("identity").alias("subject"))
     return twice.unionByName(unknown)
+
+
+def whoami(requests: DataFrame, identities: DataFrame) -> DataFrame:
+    """``requests`` (``header``, an authorization header) with ``token`` and the ``identity`` it stands for; null where there is none."""
+    who = identities.groupBy("token").agg(F.min("identity").alias("identity"))
+    return requests.withColumn("token", fn.bearer(F.col("header"))).join(who, "token", "left")
+
+
+def with_credentials(requests: DataFrame, credentials: DataFrame) -> DataFrame:
+    """``requests`` (``endpoint``) with the ``credential`` kept for that endpoint, else the one kept for none (``endpoint`` null)."""
+    own = credentials.where(F.col("endpoint").isNotNull()).groupBy("endpoint").agg(F.min("credential").alias("own"))
+    default = credentials.where(F.col("endpoint").isNull()).agg(F.min("credential").alias("default"))
+    return requests.join(own, "endpoint", "left").crossJoin(default).withColumn("credential", F.coalesce("own", "default")).drop("own", "default")  # a single row
+
+
+def served(requests: DataFrame, repositories: DataFrame) -> DataFrame:
+    """``requests`` (``asked``) with the ``repo`` (of ``repositories``) that a server finds for it and the ``error``: a repository's path below the root, or, where that is all that is served, its last name alone."""
+    rows = requests.withColumn("p", fn.repo_path(F.col("asked")))
+    direct = repositories.select("repo").distinct().withColumn("direct", F.col("repo"))
+    named = repositories.select("repo").distinct().groupBy(F.substring_index("repo", "/", -1).alias("name")).agg(F.max("repo").alias("named"), F.count("*").alias("n")).where("n = 1").drop("n")
+    rows = rows.join(direct.drop("repo"), F.col("p.path") == F.col("direct"), "left").join(named, F.col("p.path") == F.col("name"), "left")
+    repo = F.coalesce("direct", "named")
+    error = F.when(F.col("p.error").isNotNull(), F.col("p.error")).when(repo.isNull(), F.concat(F.lit("no such repository: "), F.col("p.path")))
+    return rows.select(*requests.columns, repo.alias("repo"), error.alias("error"))

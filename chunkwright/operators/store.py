@@ -32,6 +32,16 @@ def new_chunks(batch: DataFrame, store: DataFrame) -> DataFrame:
     return batch.join(missing(batch, store), "id", "left_semi").dropDuplicates(["id"])
 
 
+def sorted_by_id(chunks: DataFrame) -> DataFrame:
+    """Dealt by ranges of the id and sorted, so that a file's statistics say which ids it may have."""
+    return chunks.repartitionByRange("id").sortWithinPartitions("id")
+
+
+def get(store: DataFrame, ids: list[str]) -> DataFrame:
+    """The chunks of a few ids, each once: a filter for the scan, not a join."""
+    return store.where(F.col("id").isin(ids)).dropDuplicates(["id"])
+
+
 def resolve(refs: DataFrame, store: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
     """``refs`` with ``source`` (segment, legacy or missing) and ``place`` of each chunk."""
     rows = refs.join(store.groupBy("id").agg(F.min(F.struct("segment_id", "offset")).alias("s")), "id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -233,6 +234,17 @@ def put_was_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.put_results(_want(spark, sf_dir), _have(spark, sf_dir))
 
 
+@query("SELECT DISTINCT sha256(text) AS id, size FROM blobs WHERE sha256(text) IN (SELECT file_digest FROM snap_a WHERE path = (SELECT min(path) FROM snap_a) OR path = (SELECT max(path) FROM snap_a))")
+def get_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two chunks by id from a store sorted by id, which the scan finds by its statistics."""
+    rows = blobs(spark, sf_dir).select(fn.blob_id(F.col("text")).alias("id"), "size", F.col("text").cast("binary").alias("data")).dropDuplicates(["id"])
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store.sorted_by_id(rows).write.parquet(folder)
+    a = snapshot(spark, sf_dir, "a")
+    ends = a.agg(F.min_by("file_digest", "path"), F.max_by("file_digest", "path")).first()
+    return store.get(spark.read.parquet(folder), list(ends)).select("id", "size")
+
+
 @query(IDS + "SELECT min(id) AS id FROM want WHERE id NOT IN (SELECT id FROM have)")
 def fetch_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.first_missing(_want(spark, sf_dir), _have(spark, sf_dir))
@@ -576,9 +588,44 @@ def acl_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locks.problems(identities.unionByName(spark.createDataFrame([("t1", "again")], "token string, identity string")), acl)
 
 
+@query(PEOPLE + """SELECT c.c_custkey, i.token, i.identity FROM customer c LEFT JOIN identities i ON c.c_custkey % 3 > 0 AND i.token = 't' || c.c_custkey""", "")
+def whoami(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who asks, by the token in a header; every third header is of another kind."""
+    identities, _, _ = _people(spark, sf_dir)
+    n = F.col("c_custkey")
+    asks = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(n % 3 > 0, "Bearer ").otherwise("Basic "), F.lit("t"), n.cast("string")).alias("header"))
+    return locks.whoami(asks, identities).select("c_custkey", F.when(F.col("identity").isNotNull(), F.col("token")).alias("token"), "identity")
+
+
+@query("""SELECT n_name AS endpoint, CASE WHEN n_nationkey % 2 = 0 THEN 'c' || n_nationkey ELSE 'any' END AS credential FROM nation""", "")
+def credentials_by_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    kept = nations.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("endpoint"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("credential"))
+    return locks.with_credentials(nations.select(F.col("n_name").alias("endpoint")), kept.unionByName(spark.createDataFrame([(None, "any")], "endpoint string, credential string")))
+
+
+@query("""SELECT path AS asked, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 3 AND n > 1 THEN NULL ELSE repo END AS repo,
+CASE WHEN doc_id % 4 = 1 THEN 'the path leads out of the root: ' || path WHEN doc_id % 4 = 3 AND n > 1 THEN 'no such repository: ' || base END AS error
+FROM (SELECT doc_id, repo, base, n, CASE doc_id % 4 WHEN 0 THEN '/' || repo || '//' WHEN 1 THEN repo || '/../x' WHEN 2 THEN replace(repo, '/', chr(92)) ELSE base END AS path
+  FROM (SELECT doc_id, lang || '/' || source || CASE WHEN doc_id % 8 = 7 THEN '' ELSE '/' || doc_id END AS repo, CASE WHEN doc_id % 8 = 7 THEN source ELSE CAST(doc_id AS VARCHAR) END AS base FROM documents)
+  JOIN (SELECT base, count(DISTINCT repo) AS n FROM (SELECT lang || '/' || source || CASE WHEN doc_id % 8 = 7 THEN '' ELSE '/' || doc_id END AS repo, CASE WHEN doc_id % 8 = 7 THEN source ELSE CAST(doc_id AS VARCHAR) END AS base FROM documents) GROUP BY base) USING (base))""", "")
+def served_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a server finds for the path a client asks by: in full, with turned slashes, out of the root, or by the last name alone, which more than one may have."""
+    n = F.col("doc_id") % 8
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("/"), "source", F.when(n == 7, F.lit("")).otherwise(F.concat(F.lit("/"), F.col("doc_id").cast("string")))).alias("r"))
+    asked = F.when(n % 4 == 0, F.concat(F.lit("/"), "r", F.lit("//"))).when(n % 4 == 1, F.concat("r", F.lit("/../x"))).when(n % 4 == 2, F.translate("r", "/", "\\")).otherwise(F.substring_index("r", "/", -1))
+    return locks.served(rows.select(asked.alias("asked")), rows.select(F.col("r").alias("repo")))
+
+
 # Scalars
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name || ':t' || c_custkey END AS line FROM customer""", "")
+def credential_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = F.when(F.col("c_custkey") % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" t"), F.col("c_custkey").cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.credential_line(F.col("c_name"), token).alias("line"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 5 = 1 AND trim(c_name) = '' THEN NULL ELSE c_name END AS identity, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 't' || c_custkey END AS token FROM customer""", "")
 def token_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit(": "))).otherwise(F.concat(F.lit(" "), "c_name", F.lit(" : t"), F.col("c_custkey").cast("string")))
@@ -586,7 +633,7 @@ def token_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT url, CASE WHEN u LIKE 'cws%' THEN 'https' WHEN u LIKE 'https%' THEN 'https' WHEN u LIKE 'ftp%' THEN NULL ELSE 'http' END || '://' || split_part(u[strpos(u, '://') + 3:], '/', 1) AS endpoint,
-CASE WHEN u LIKE 'ftp%' THEN NULL ELSE trim(u[strpos(u, '://') + 3 + strpos(u[strpos(u, '://') + 3:], '/'):], '/') END AS repo, CASE WHEN u LIKE 'ftp%' THEN 'unsupported remote scheme: ftp' END AS error
+CASE WHEN u LIKE 'ftp%' THEN NULL ELSE trim(u[strpos(u, '://') + 3 + strpos(u[strpos(u, '://') + 3:], '/'):], '/') END AS repo, CASE WHEN u LIKE 'ftp%' THEN 'no way to reach scheme ftp' END AS error
 FROM (SELECT url, CASE page_id % 3 WHEN 0 THEN 'cws' || regexp_replace(url, '^[a-z]+', '') WHEN 1 THEN 'ftp' || regexp_replace(url, '^[a-z]+', '') ELSE url END AS u FROM pages)""", "")
 def parse_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.regexp_replace("url", "^[a-z]+", "")
@@ -610,17 +657,38 @@ def classify_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports
 
 
-@query("SELECT 'Virtual:      ' || count(*) FILTER (state = 'Virtual') || chr(10) || 'Hydrated:     ' || count(*) FILTER (state = 'Hydrated') || chr(10) || 'Dirty:        ' || count(*) FILTER (state = 'Dirty') || chr(10) || 'Pending:      0' || chr(10) || 'Not in view:  ' || count(*) FILTER (state = 'NotInView') AS text FROM index_a")
+@query("SELECT count(*) FILTER (state = 'Virtual') || ' virtual, ' || count(*) FILTER (state = 'Hydrated') || ' hydrated, ' || count(*) FILTER (state = 'Dirty') || ' changed, 0 pending, ' || count(*) FILTER (state = 'NotInView') || ' outside the view' AS text FROM index_a")
 def show_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.status_counts(workspace.status(tables.index_a(spark, sf_dir)))
 
 
-@query(COMMITS + "SELECT depth, CASE WHEN depth = 0 THEN '* ' ELSE '  ' END || id AS line FROM chain", "")
+@query(COMMITS + "SELECT depth, id || CASE WHEN depth = 0 THEN ' (head)' ELSE '' END AS line FROM chain", "")
 def show_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = _head(spark, sf_dir)
     return reporting.log_lines(history.log(_commits(spark, sf_dir), head), head)
 
 
+@query(LINES + """, n AS (SELECT CAST(count(DISTINCT id) AS BIGINT) AS c, (SELECT CAST(sum(len) AS BIGINT) FROM (SELECT DISTINCT id, len FROM lines)) AS b, (SELECT count(*) FROM documents) AS d FROM lines)
+SELECT c || ' chunks, ' || b || ' bytes stored, ' || CAST(round(b / c) AS BIGINT) || ' bytes a chunk, 0 bytes on disk' || chr(10) || d || ' commits, 0 without files' AS text FROM n""")
+def show_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = store.stats(_want(spark, sf_dir).distinct().withColumnRenamed("raw_len", "stored_len"))
+    commits = table(spark, sf_dir, "documents").agg(F.count("*").alias("commits"))
+    return reporting.stats_text(stats.crossJoin(commits).withColumn("metadata_only", F.lit(0)).withColumn("disk_bytes", F.lit(0).cast("long")))  # single rows
+
+
+@query("""SELECT CASE WHEN count(*) = 0 THEN 'nothing is wrong' ELSE count(*) || CASE WHEN count(*) = 1 THEN ' problem' ELSE ' problems' END || ', first ' || min(path) || ': ' || min_by(id, (path, id)) END AS text
+FROM (SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5))""", "")
+def show_fsck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.fsck_text(fsck_quick(spark, sf_dir).withColumnRenamed("id", "subject"))
+
+
+@query("SELECT 'commit A' || chr(10) || 'in view: en/... fr/src1/..., but for *.bin' || chr(10) || count(*) FILTER (state = 'Virtual') || ' virtual, ' || count(*) FILTER (state = 'Hydrated') || ' hydrated, ' || count(*) FILTER (state = 'Dirty') || ' changed'"
+       " || chr(10) || 'changed:' || chr(10) || '  ' || (SELECT string_agg(path, chr(10) || '  ' ORDER BY path) FROM (SELECT path FROM index_a WHERE state = 'Dirty' ORDER BY path LIMIT 10)) || CASE WHEN count(*) FILTER (state = 'Dirty') > 10 THEN chr(10) || '  and ' || (count(*) FILTER (state = 'Dirty') - 10) || ' more' ELSE '' END"
+       " || chr(10) || 'outside the view:' || chr(10) || '  ' || (SELECT string_agg(path, chr(10) || '  ' ORDER BY path) FROM (SELECT path FROM index_a WHERE state = 'NotInView' ORDER BY path LIMIT 10)) || CASE WHEN count(*) FILTER (state = 'NotInView') > 10 THEN chr(10) || '  and ' || (count(*) FILTER (state = 'NotInView') - 10) || ' more' ELSE '' END AS text FROM index_a")
+def show_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.status_text(workspace.status(tables.index_a(spark, sf_dir)).withColumn("commit_id", F.lit("A")), ("en/...", "fr/src1/..."), ("*.bin",))
+
+
 @query("""SELECT l_returnflag, list_sort(list(CAST(l_quantity AS BIGINT)))[CAST(count(*) // 2 + 1 AS INTEGER)] AS median FROM lineitem GROUP BY l_returnflag""", "")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.upper_median(table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("value")), "l_returnflag")

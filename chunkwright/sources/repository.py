@@ -176,13 +176,13 @@ class Repository:
 
     def _append_chunks(self, rows: DataFrame) -> None:
         """New chunks, by ranges of their ids, so that a look-up of an id reads a few row groups."""
-        self._append("chunks", rows.select("id", "raw_len", "stored_len", "compressed", "data").repartitionByRange("id").sortWithinPartitions("id"))
+        self._append("chunks", store.sorted_by_id(rows.select("id", "raw_len", "stored_len", "compressed", "data")))
 
     def compact(self) -> None:
         """Write all chunks anew, each once and sorted by id, in place of the folders that appending has made."""
         old, new = self._parts("chunks"), uuid.uuid4().hex
         if len(old) > 1:
-            self.read("chunks").dropDuplicates(["id"]).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.home}/chunks/{new}")
+            store.sorted_by_id(self.read("chunks").dropDuplicates(["id"])).write.parquet(f"{self.home}/chunks/{new}")
             number = len(self._entries("chunks.compacted"))
             if not self._put_entry("chunks.compacted", number, "\n".join([new, *old])):
                 shutil.rmtree(f"{self.home}/chunks/{new}", ignore_errors=True)
@@ -192,7 +192,7 @@ class Repository:
 
     def get_chunks(self, ids: list[str]) -> DataFrame:
         """``id``, ``data`` (as it was, not as it is stored) of the chunks asked for, by the scan's own filter; one that the store lacks is an error."""
-        rows = self.read("chunks").where(F.col("id").isin(ids)).dropDuplicates(["id"]).select("id", "data", "compressed")
+        rows = store.get(self.read("chunks"), ids).select("id", "data", "compressed")
         lost = sorted(set(ids) - {r["id"] for r in rows.select("id").collect()})
         if lost:
             raise NotFound(f"object not found: {lost[0]}")
