@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..schemas import DIRTY, HYDRATED, NOT_IN_VIEW, PENDING, VIRTUAL
+from ..sources.shared import cut_lineage
 from .ingest import unchanged, upsert
 
 
@@ -58,6 +59,15 @@ def hydrate_plan(files: DataFrame, index: DataFrame, asked: Column) -> DataFrame
     return to_hydrate(files, index, asked).select("path", "file_digest", "size", F.size("chunks").alias("n_chunks")).orderBy(F.desc("size"), "path")
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` with their number (from 1) by ``order``. Ranges are numbered side by side, and each goes on where those before it end: no task has all rows."""
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row a range
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn(name, inside).join(F.broadcast(before), "__range").withColumn(name, (F.col(name) + F.col("__before")).cast("int")).drop("__range", "__before")
+
+
 def hydrated(index: DataFrame, written: DataFrame) -> DataFrame:
     rows = index.join(written.select("path").distinct().withColumn("__w", F.lit(True)), "path", "left")
     return rows.withColumn("state", F.when(F.col("__w"), HYDRATED).otherwise(F.col("state"))).select(*index.columns)

@@ -365,10 +365,10 @@ def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY b.size DESC, b.path) AS INTEGER) AS place, b.path, b.size FROM snap_b b JOIN index_a i USING (path) WHERE i.state NOT IN ('NotInView', 'Hydrated') AND (b.path LIKE 'en/%' OR b.path LIKE 'de/src3/%')""")
 def hydrate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What hydrating en and de/src3 would write, numbered from the largest; the numbers are made over the few files asked for."""
+    """What hydrating en and de/src3 would write, numbered from the largest."""
     files = snapshot(spark, sf_dir, "b").withColumn("chunks", F.array())
     plan = workspace.hydrate_plan(files, tables.index_a(spark, sf_dir), patterns.in_paths(F.col("path"), ("en", "de/src3/")))
-    return plan.select(F.row_number().over(Window.orderBy(F.desc("size"), "path")).alias("place"), "path", "size")
+    return workspace.numbered(plan.select("path", "size"), "place", F.desc("size"), F.col("path")).select("place", "path", "size")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS hydrated FROM index_a WHERE state = 'Hydrated' OR (state NOT IN ('NotInView') AND path LIKE 'en/%' AND path IN (SELECT path FROM snap_b))")

@@ -79,11 +79,11 @@ def digests(files: DataFrame, root: str) -> DataFrame:
     return files.select("path").mapInArrow(run, "path string, file_digest string")
 
 
-def packed(data: bytes) -> tuple[bool, bytes]:
-    """Whether compression makes ``data`` shorter, and what is stored."""
+def packed(data: bytes, level: int = 1) -> tuple[bool, bytes]:
+    """Whether compression makes ``data`` shorter, and what is stored; level 0 doesn't compress."""
     import zstandard
 
-    small = zstandard.ZstdCompressor(level=3).compress(data)
+    small = zstandard.ZstdCompressor(level=level).compress(data) if level else data
     return (True, small) if len(small) < len(data) else (False, data)
 
 
@@ -105,7 +105,7 @@ def plain_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "data", "compressed").mapInArrow(run, "id string, data binary")
 
 
-def cut_files(files: DataFrame, root: str, chunker: Chunker, large: int = schemas.LARGE_FILE, window: int = schemas.LARGE_WINDOW) -> DataFrame:
+def cut_files(files: DataFrame, root: str, chunker: Chunker, large: int = schemas.LARGE_FILE, window: int = schemas.LARGE_WINDOW, level: int = 1) -> DataFrame:
     """Chunks, with what is to be stored of them, of files (``path``, ``size``, ``way``, ``file_digest`` and ``chunks``, their former references), each read once.
 
     A small file is one chunk. By former boundaries chunks are cut as they were as far as they end within the file, and the rest by
@@ -142,7 +142,7 @@ def cut_files(files: DataFrame, root: str, chunker: Chunker, large: int = schema
                 with open(os.path.join(root, row["path"]), "rb") as file:
                     for n, data in enumerate(pieces(file, row["size"], row["way"], row["chunks"] or [])):
                         digest.update(data)
-                        compressed, stored = packed(data)
+                        compressed, stored = packed(data, level)
                         out.append((row["path"], n, at, len(data), hashlib.sha256(data).hexdigest(), len(stored), compressed, stored))
                         at, held = at + len(data), held + len(stored)
                         if held >= BATCH_BYTES:

@@ -81,6 +81,8 @@ class Config:
     #: Whether opening a commit hydrates its hot files, and whether bytes are checked when files are written.
     auto_hydrate: bool = True
     verify: bool = True
+    #: How hard chunks are compressed; 0 is not at all.
+    compression: int = 1
 
     @classmethod
     def load(cls, text: str) -> Config:
@@ -251,7 +253,7 @@ class Repository:
         if not todo.isEmpty():
             incoming = f"{self.home}/incoming/{uuid.uuid4().hex}"
             try:
-                tree.cut_files(todo, self.root, self.chunker, self.config.large_file, self.config.large_window).write.parquet(incoming)
+                tree.cut_files(todo, self.root, self.chunker, self.config.large_file, self.config.large_window, self.config.compression).write.parquet(incoming)
                 cut = self.spark.read.schema(tree.PIECES).parquet(incoming)
                 made = cut_lineage(todo.drop("chunks").join(chunking.refs(cut), "path"))
                 self._append_chunks(store.new_chunks(cut.withColumn("raw_len", F.col("len")), self.read("chunks")))

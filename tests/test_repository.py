@@ -32,9 +32,9 @@ def states(repo: Repository) -> dict[str, str]:
 def repo(spark, tmp_path) -> Repository:
     root = str(tmp_path / "one")
     made = Repository.init(spark, root, SMALL)
-    put(root, "code/main.rs", b"fn main() {}")
-    put(root, "config/app.toml", b"a = 1")
-    put(root, "assets/hero.bin", bytes(range(256)) * 200)
+    put(root, "code/plan.txt", b"step one")
+    put(root, "config/view.ini", b"wide")
+    put(root, "assets/sky.bin", bytes(range(256)) * 200)
     return made
 
 
@@ -42,24 +42,24 @@ def test_add_commit_open_round_trip(repo) -> None:
     assert repo.add() == 3
     first = repo.commit("first", "ann", 1)
     assert repo.head == first and repo.read("staging").isEmpty()
-    put(repo.root, "code/main.rs", b"fn main() { two() }")
+    put(repo.root, "code/plan.txt", b"step one, step two")
     with pytest.raises(DirtyWorkspace):
         repo.open(first)
     assert repo.add(("code",)) == 1
     second = repo.commit("second", "ann", 2)
     assert [r["id"] for r in repo.log().collect()] == [second, first]
     # a commit has what was staged only
-    assert [r["path"] for r in repo.files(second).collect()] == ["code/main.rs"]
+    assert [r["path"] for r in repo.files(second).collect()] == ["code/plan.txt"]
     repo.open(first)
-    assert open(f"{repo.root}/code/main.rs", "rb").read() == b"fn main() {}"
+    assert open(f"{repo.root}/code/plan.txt", "rb").read() == b"step one"
     assert [r["id"] for r in repo.log().collect()] == [first]  # opening moves the head
     assert repo.fsck().isEmpty() and repo.fsck(deep=True).isEmpty()
     assert repo.hydrate(("assets",)) == 3
-    assert repo.dehydrate(("assets/hero.bin",)) == 1
-    assert not os.path.exists(f"{repo.root}/assets/hero.bin")
+    assert repo.dehydrate(("assets/sky.bin",)) == 1
+    assert not os.path.exists(f"{repo.root}/assets/sky.bin")
     assert repo.hydrate() == 3
-    assert open(f"{repo.root}/assets/hero.bin", "rb").read() == bytes(range(256)) * 200
-    put(repo.root, "assets/hero.bin", b"other")
+    assert open(f"{repo.root}/assets/sky.bin", "rb").read() == bytes(range(256)) * 200
+    put(repo.root, "assets/sky.bin", b"other")
     with pytest.raises(DirtyWorkspace):
         repo.dehydrate()
     assert repo.status().first()["dirty"] == 1
@@ -162,17 +162,17 @@ def test_partial_clone_fetches_what_is_asked_for(spark, repo, tmp_path) -> None:
     assert [r["id"] for r in other.log().collect()] == [second, first]
     assert other.files(first).isEmpty() and other.stats().first()["metadata_only"] == 2
     held = other.read("chunks").count()
-    assert states(other) == {"code/main.rs": "Hydrated", "config/app.toml": "Hydrated", "assets/hero.bin": "Virtual", "assets/new.bin": "Virtual"} and held == 2
+    assert states(other) == {"code/plan.txt": "Hydrated", "config/view.ini": "Hydrated", "assets/sky.bin": "Virtual", "assets/new.bin": "Virtual"} and held == 2
     with pytest.raises(NotFound):
-        other.hydrate(("assets/hero.bin",))
-    assert other.hydrate(("assets/hero.bin",), remote=repo.root) == 3
-    assert open(f"{other.root}/assets/hero.bin", "rb").read() == bytes(range(256)) * 200
+        other.hydrate(("assets/sky.bin",))
+    assert other.hydrate(("assets/sky.bin",), remote=repo.root) == 3
+    assert open(f"{other.root}/assets/sky.bin", "rb").read() == bytes(range(256)) * 200
     with pytest.raises(NotFound):
         other.open(first)
     other.open(first, remote=repo.root)
     assert other.head == first and "assets/new.bin" not in states(other) and {r["path"] for r in other.current_files().collect()} == {r["path"] for r in repo.files(first).collect()}
     third_root = repo.root
-    put(third_root, "code/third.rs", b"third")
+    put(third_root, "code/fourth.txt", b"third")
     repo.add(("code",))
     third = repo.commit("third", "ann", 3)
     report = other.pull(partial=True).first()
@@ -190,7 +190,7 @@ def test_two_writers_at_once(spark, repo) -> None:
 
     def take(owner: str) -> None:
         try:
-            Repository(spark, repo.root).lock("assets/hero.bin", owner)
+            Repository(spark, repo.root).lock("assets/sky.bin", owner)
             outcomes.append("ok")
         except LockConflict:
             outcomes.append("conflict")
@@ -228,7 +228,7 @@ def test_settings(repo) -> None:
     commit = again.commit("c", "ann", 1)
     again.dehydrate()
     again.checkout(commit)
-    assert states(again)["code/main.rs"] == "Virtual"
+    assert states(again)["code/plan.txt"] == "Virtual"
 
 
 def test_view_keeps_files_out(repo) -> None:
@@ -237,30 +237,30 @@ def test_view_keeps_files_out(repo) -> None:
     repo.add()
     commit = repo.commit("c", "ann", 1)
     repo.open(commit)
-    assert states(repo)["assets/excluded/x"] == "NotInView" and states(repo)["config/app.toml"] == "NotInView"
-    assert states(repo)["code/main.rs"] == "Hydrated"
+    assert states(repo)["assets/excluded/x"] == "NotInView" and states(repo)["config/view.ini"] == "NotInView"
+    assert states(repo)["code/plan.txt"] == "Hydrated"
 
 
 def test_clone_push_pull(spark, repo, tmp_path) -> None:
     repo.add()
     first = repo.commit("first", "ann", 1)
     other = Repository.clone(spark, f"file://{repo.root}", str(tmp_path / "two"))
-    assert other.head == first and states(other)["assets/hero.bin"] == "Virtual" and states(other)["code/main.rs"] == "Hydrated"
-    put(other.root, "code/bob.rs", b"bob")
+    assert other.head == first and states(other)["assets/sky.bin"] == "Virtual" and states(other)["code/plan.txt"] == "Hydrated"
+    put(other.root, "code/other.txt", b"other")
     other.add(("code",))
     second = other.commit("second", "bob", 2)
     report = other.push().first()
     assert (report["new_head"], report["commit_count"], report["chunk_count"]) == (second, 1, 1)
-    put(repo.root, "code/alice.rs", b"alice")
+    put(repo.root, "code/mine.txt", b"mine")
     third = Repository.clone(spark, repo.root, str(tmp_path / "three"), hydrate_all=True)
     assert third.head == second
-    put(third.root, "code/carl.rs", b"carl")
-    third.add(("code/carl.rs",))
+    put(third.root, "code/third.txt", b"third")
+    third.add(("code/third.txt",))
     last = third.commit("third", "carl", 3)
     third.push()
     # a writer who hasn't seen that is turned away, and nothing has come over
-    put(other.root, "code/bob2.rs", b"bob2")
-    other.add(("code/bob2.rs",))
+    put(other.root, "code/later.txt", b"later")
+    other.add(("code/later.txt",))
     other.commit("fourth", "bob", 4)
     with pytest.raises(NotFastForward):
         other.push()
@@ -275,14 +275,14 @@ def test_clone_push_pull(spark, repo, tmp_path) -> None:
 
 
 def test_locks(repo) -> None:
-    repo.lock("assets/hero.bin", "alice")
-    repo.lock("assets/hero.bin", "alice")
+    repo.lock("assets/sky.bin", "alice")
+    repo.lock("assets/sky.bin", "alice")
     with pytest.raises(LockConflict):
-        repo.lock("assets/hero.bin", "bob")
+        repo.lock("assets/sky.bin", "bob")
     with pytest.raises(LockConflict):
-        repo.unlock("assets/hero.bin", "bob")
-    assert [r["owner"] for r in repo.locks("assets/he").collect()] == ["alice"]
-    repo.unlock("assets/hero.bin", "alice")
+        repo.unlock("assets/sky.bin", "bob")
+    assert [r["owner"] for r in repo.locks("assets/sk").collect()] == ["alice"]
+    repo.unlock("assets/sky.bin", "alice")
     assert repo.locks().isEmpty()
 
 
