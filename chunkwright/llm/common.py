@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import shared_folder
+
 #: Rows in one Python step; a batch from Spark is cut to this, so that lists of long texts stay small.
 STEP = 256
-#: Small rows (ids, links) for one task.
-COMPACT = 50_000
 #: No column of an input may start with this; operators use it for columns of their own.
 OWN = "__llm_"
 
@@ -64,10 +64,12 @@ def input_rows(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder under /tmp/checkpoints only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or "/tmp/checkpoints"
+def planned_bytes(df: DataFrame) -> int:
+    """The size that Spark's planner takes ``df`` for: of tables their files', of joins often far too much, without a job."""
+    try:
+        return min(1 << 60, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    except ValueError:  # a product over many joins, with more digits than Python reads
+        return 1 << 60
 
 
 def tasks_for(spark: SparkSession, rows: int, a_task: int = 10_000) -> int:
@@ -79,10 +81,18 @@ def checkpointed(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, with its lineage cut; in ``tasks`` files at most, as every file costs a process or two."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return (df if tasks is None else df.coalesce(tasks)).checkpoint()
 
 
-def compact(df: DataFrame, rows: int = COMPACT) -> DataFrame:
-    """A checkpointed ``df`` in no more partitions than its size needs, so that its next shuffles aren't mostly small files."""
-    return df.coalesce(1 + df.count() // rows)
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """``df``, grouped by ``key``, with that key behind an expression: a join by it then shuffles both sides, and Spark can split a hot key on the other one.
+
+    Without that a join takes the groups where they lie, and all rows of a hot key go to one task."""
+    return df.withColumn(key, F.array_min(F.array(key)))

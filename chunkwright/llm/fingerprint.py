@@ -7,6 +7,8 @@ lies below, the smallest is kept, so that short texts have a sketch too; it take
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,28 +80,34 @@ def as_text(a: Column) -> Column:
 def with_next(rows: DataFrame, columns: list[str], prefix: str) -> DataFrame:
     """Add ``columns`` of the next row by ``doc_id`` (after the last: the first) as ``prefix`` + name.
 
-    Ids are cut into ranges of about DOCS_A_RANGE rows at approximate quantiles, and the first row of each range is
-    also put at the end of the range before it: one shuffle of the rows, no global sort. The driver sees two
-    numbers for each range. Equal ids are ordered by their text, null ids come first.
+    Ids are cut into ranges of about DOCS_A_RANGE rows at approximate quantiles; an id that very many rows have is several of them, and its rows
+    are dealt to its ranges by a hash of the text. The first row of each range is also put at the end of the range before it: one shuffle of the
+    rows, no global sort. The driver sees three numbers for each range. Equal ids are ordered by a hash of their text, null ids come first.
     """
     own = common.OWN
-    rows = rows.withColumn(f"{own}key", F.coalesce("doc_id", F.lit(LEAST)))
+    key, tie = F.col(f"{own}key"), F.col(f"{own}tie")
+    rows = rows.withColumn(f"{own}key", F.coalesce("doc_id", F.lit(LEAST))).withColumn(f"{own}tie", F.xxhash64("text"))
     count = common.input_rows(rows.select(f"{own}key"))
     ranges = min(MOST_RANGES, max(1, count // DOCS_A_RANGE))
     cuts = rows.agg(F.percentile_approx(f"{own}key", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] if ranges > 1 else []
     steps = [1 << k for k in reversed(range(max(1, len(cuts or [])).bit_length()))]
     padded = [*sorted(cuts or []), *[(1 << 63) - 1] * (2 * steps[0] - 1 - len(cuts or []))]
     bounds = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<bigint>")
-    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.get(bounds, low + step - 1) <= F.col(f"{own}key"), low + step).otherwise(low))
-    rows = rows.withColumn(f"{own}range", found)
-    firsts = sorted((r[0], r[1]) for r in rows.groupBy(f"{own}range").agg(F.min(f"{own}key")).collect())
-    before = [(key, firsts[k - 1][0]) for k, (_, key) in enumerate(firsts)]
-    heads = rows.sparkSession.createDataFrame(before, f"{own}key long, {own}before int")
-    again = rows.join(F.broadcast(heads), f"{own}key").withColumn(f"{own}range", F.col(f"{own}before")).drop(f"{own}before")
+
+    def cuts_below(holds: Callable) -> Column:  # by halving
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(holds(F.get(bounds, low + step - 1)), low + step).otherwise(low))
+
+    low, high = cuts_below(lambda cut: cut < key), cuts_below(lambda cut: cut <= key)
+    share = (tie.cast("double") / float(1 << 64) + 0.5) * (high - low)  # which of its ranges a row of an id has that is a cut
+    rows = rows.withColumn(f"{own}range", F.when(high > low, low + 1 + F.least(F.floor(share).cast("int"), high - low - 1)).otherwise(low))
+    firsts = sorted((r[0], r[1][0], r[1][1]) for r in rows.groupBy(f"{own}range").agg(F.min(F.struct(key, tie))).collect())
+    before = [(k, t, firsts[n - 1][0]) for n, (_, k, t) in enumerate(firsts)]
+    heads = rows.sparkSession.createDataFrame(before, f"{own}key long, {own}tie long, {own}before int")
+    again = rows.join(F.broadcast(heads), [f"{own}key", f"{own}tie"]).withColumn(f"{own}range", F.col(f"{own}before")).drop(f"{own}before")
     both = rows.withColumn(f"{own}again", F.lit(False)).unionByName(again.withColumn(f"{own}again", F.lit(True)))
-    by = Window.partitionBy(f"{own}range").orderBy(f"{own}again", f"{own}key", "text")
+    by = Window.partitionBy(f"{own}range").orderBy(f"{own}again", key, tie)
     led = both.select("*", *[F.lead(c).over(by).alias(prefix + c) for c in columns]).where(~F.col(f"{own}again"))
-    return led.drop(f"{own}key", f"{own}range", f"{own}again")
+    return led.drop(f"{own}key", f"{own}tie", f"{own}range", f"{own}again")
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE, size: int = WORDS) -> DataFrame:
@@ -115,7 +123,7 @@ def against_edit(docs: DataFrame, scale: int = SCALE, size: int = WORDS) -> Data
     """Fingerprints of each document and of its edit, whose last quarter is the start of the next document.
 
     Null texts are empty; an empty text's edit is empty, and two texts without words are alike. Equal ids are
-    ordered by their text; a table's only document is its own next one; an empty table gives no rows.
+    ordered by a hash of their text; a table's only document is its own next one; an empty table gives no rows.
     """
     rows = docs.select("doc_id", common.text_of().alias("text"))
     rows = with_next(rows.withColumn("sketch", sketch(F.col("text"), scale, size)), ["text", "sketch"], "next_")

@@ -22,9 +22,10 @@ from . import common
 
 LENGTH = 4096
 END_ID = 1
-#: Open bins in each packing task. Pieces come largest first, so it takes about as many as there are large pieces.
-OPEN_BINS = 32_768
-#: Pieces for one packing task: about a second of work and 20 MB.
+#: Open bins in each packing task, and pieces of a block. Blocks come one after the other, each largest first: about as many bins as a block's
+#: pieces fill must be open for its small pieces to find room beside its large ones, and what is left is for the next blocks.
+OPEN_BINS, BLOCK = 1_024, 4_000
+#: Pieces for one packing task: about a second of work.
 PIECES_A_TASK = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -150,8 +151,8 @@ class BestFit:
 def pack(rows: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
     """Place pieces (of ``PIECES``) into sequences; each of ``tasks`` tasks fills sequences of its own.
 
-    Pieces are dealt by a hash, so that each task sees a like mix of sizes whatever the order of the input, and come largest
-    first. A task's number is the upper part of its sequences' ids.
+    Pieces are dealt out evenly, whichever are equal, and in a task by a hash to blocks, so that each sees a like mix of sizes whatever the
+    order of the input; in a block the largest come first. A task's number is the upper part of its sequences' ids.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -167,15 +168,18 @@ def pack(rows: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = OPE
             placed = [fit.place(size) for size in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema=schema)
 
-    order = [F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece"]
-    return rows.repartition(tasks, "doc_id", "piece").sortWithinPartitions(*order).mapInArrow(run, PACKED)
+    mark = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("block"))
+    order = [F.pmod(mark, F.lit(max(1, PIECES_A_TASK // BLOCK))), F.desc("length"), mark, "doc_id", "piece"]
+    return rows.repartition(tasks).sortWithinPartitions(*order).mapInArrow(run, PACKED)
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
     """Tokenise and pack: one row a piece with its place.
 
     A null or empty text is the end mark alone; repeated rows are packed each; an empty table gives no rows.
-    Lost tasks are computed again with the same result, for dealing and order follow the rows' values.
+    Lost tasks are computed again with the same result, for Spark deals out rows in the order of their hashes, and the order here follows their values.
     """
-    tasks = 1 + common.input_rows(docs) // PIECES_A_TASK
+    n = common.input_rows(docs)
+    # a document is one piece, and one more for each sequence it fills, of at least four bytes a token in most texts; a task has a thousand documents at least
+    tasks = 1 + min(n // 1_000, (n + common.planned_bytes(docs) // (4 * length)) // PIECES_A_TASK)
     return pack(pieces(docs, vocabulary, length, end_id), tasks, length, open_bins)
