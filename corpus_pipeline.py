@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.llm import common, language, near_dedup, packing, secret_scan, substring_dedup
+from chunkwright.sources.shared import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written and read again; what a stage has read is deleted when its own rows are there."""
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            common.dropped(spark, f"{folder}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
