@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chunkwright.llm import components, near_dedup, queries, secret_scan, substring_dedup, topk
+from chunkwright.llm import components, near_dedup, packing, queries, secret_scan, substring_dedup, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DIR = "/root/testdata/sf0.001"
@@ -48,6 +48,25 @@ def test_components(spark) -> None:
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_random_links(spark) -> None:
+    """Also nodes that lead to several roots are brought together."""
+    rng = random.Random(21)
+    links = [(rng.randrange(4000), rng.randrange(4000)) for _ in range(2600)] + [(9000 + k, 9000 + (k * 7919) % 300) for k in range(300)]
+    parent = {x: x for link in links for x in link}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: root(x) for link in links if link[0] != link[1] for x in link}
+
+
 # Near-duplicates
 
 
@@ -123,7 +142,7 @@ def test_template_crowd(spark) -> None:
 def test_neighbours_across_tasks(spark, tasks) -> None:
     """However the ordered rows are dealt out, each two neighbours of a group with different classes are a pair."""
     rows = [(g, f, n, bytes([g, f, n]), bytes([k % 3])) for g in range(3) for f in range(8) for k, n in enumerate(range(10, 20))]
-    got = {(r["a"], r["b"]) for r in near_dedup.beside(spark.createDataFrame(rows, "group long, finer long, n long, key binary, class binary"), 0.8, tasks).collect()}
+    got = {(r["a"], r["b"]) for r in near_dedup.beside(spark.createDataFrame(rows, "group long, finer long, n long, key binary, class binary"), 0.8, tasks)[0].collect()}
     assert got == {tuple(sorted((x[3], y[3]))) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[4] != y[4] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2])}
 
 
@@ -407,6 +426,42 @@ def test_pipeline_stages(spark, tmp_path) -> None:
     assert set(kept["packing"]) == {1, 5, 6, 7}
 
 
+def test_pipeline_against_brute_force(spark, tmp_path) -> None:
+    """From end to end, with repeated and null ids: what each stage keeps, by plain loops, and the pieces of what is left."""
+    rng = random.Random(14)
+    passage = " ".join(words(rng, 90))
+    base = [words(rng, 150) for _ in range(12)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(20 + i, " ".join(edited(rng, b, 0.03))) for i, b in enumerate(base[:6])] + [(3, rows_text) for rows_text in [" ".join(base[3])] * 2]
+    rows += [(None, " ".join(base[1])), (None, " ".join(words(rng, 80))), (40, None), (41, "12 34 !"), (42, ""), (None, None)]
+    rows += [(50 + i, " ".join(words(rng, 70)) + f" {passage} " + " ".join(words(rng, 70))) for i in range(4)] + [(60, "token=abcdefgh1234 " + " ".join(words(rng, 60)))]
+    frame = docs(spark, rows)
+    path = tmp_path / "in"
+    frame.write.parquet(str(path / "documents.parquet"))
+    # language ID and one of each class
+    left = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
+    known = {t: n for n, t in enumerate(sorted({t for _, t in left}))}
+    classes = brute_classes([(n, t) for t, n in known.items()])
+    groups: dict = {}
+    for i, t in left:
+        groups.setdefault(classes[known[t]], set()).add((i is None, i or 0, t))
+    kept = sorted(((None if none else i), t) for none, i, t in (min(g) for g in groups.values())) if all(not min(g)[0] for g in groups.values()) else [((None if none else i), t) for none, i, t in (min(g) for g in groups.values())]
+    # passages that an earlier document has, then secrets
+    texts = {}
+    held = held_windows(kept, substring_dedup.MIN_RUN)
+    for i, t in kept:
+        cut = at_words(t, held[i])
+        texts[i] = secret_scan.redact("".join(c for n, c in enumerate(t) if n not in cut), secret_scan.default_vocabulary())
+    want = {}
+    for i, t in texts.items():
+        n = len(packing.token_ids(t, packing.default_vocabulary())) // 4 + 1
+        want[i] = [min(4096, n - at) for at in range(0, n, 4096)]
+    got: dict = {}
+    out = corpus_pipeline.run(spark, str(path)).collect()
+    for r in sorted(out, key=lambda r: r["piece"]):
+        got.setdefault(r["doc_id"], []).append(r["length"])
+    assert got == want and None in got and sum(map(sum, got.values())) == sum(r["length"] for r in out)
+
+
 def test_pipeline_on_nothing(spark, tmp_path) -> None:
     now = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
