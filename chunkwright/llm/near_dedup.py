@@ -36,8 +36,8 @@ ALIKE = 0.8
 BANDS, FIRST, TUPLE = 24, 8, 2
 #: Words that one step of an alignment takes of each text where no shingle ties them.
 PIECE = 1 << 14
-#: Texts whose buckets, and pairs that, one task has, about.
-TEXTS_A_TASK, PAIRS_A_TASK = 10_000, 2_000
+#: Texts for one task.
+TEXTS_A_TASK = 16_000
 
 WORD = re.compile(r"\w+")
 #: Fixed odd factors and seeds of the hash functions.
@@ -223,9 +223,7 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, alike: float, tasks: int) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose texts are alike, computed once."""
-    pairs = common.checkpointed(pairs.distinct(), tasks)
-    tasks = common.tasks_for(pairs.sparkSession, pairs.count(), PAIRS_A_TASK)
-    rows = pairs.join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b").coalesce(tasks).join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
+    rows = pairs.distinct().join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b").coalesce(tasks).join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
 
     def judged(batch: list) -> Iterable[tuple]:
         for a, b, wa, wb in batch:
@@ -251,14 +249,14 @@ def around_centres(rows: DataFrame, alike: float) -> DataFrame:
     centre = rows.groupBy("group").agg(F.min(F.struct("class", "key", "n")).alias("c"), F.max("class").alias("last")).where(F.col("c.class") < F.col("last"))
     centre = centre.select(F.col("group").alias("of"), F.col("c.class").alias("least"), F.col("c.key").alias("centre"), F.col("c.n").alias("m"))
     alone = (F.col("class") == F.col("least")) | (F.least("n", "m") < F.greatest("n", "m") * alike)
-    return rows.join(centre, (F.col("group") == F.col("of")) & ~alone).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
+    return rows.join(common.apart(centre, "of"), (F.col("group") == F.col("of")) & ~alone).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
 
 
-def beside(rows: DataFrame, alike: float, tasks: int) -> DataFrame:
+def beside(rows: DataFrame, alike: float, tasks: int) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a``, ``b`` of neighbours of a group that are of different classes, in the order of ``finer``, ``n``, ``key``.
 
     The order is made by ranges, so a group of any size is spread over tasks; each task also gives its first and last row, and
-    from these, two a task, come the pairs across tasks' borders.
+    from these, two a task, come the pairs across tasks' borders. The second result is what is kept of the first meanwhile.
     """
     rows = rows.select("group", "finer", "n", "key", "class")
     by = ("group", "finer", "n", "key")
@@ -285,14 +283,14 @@ def beside(rows: DataFrame, alike: float, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"a": None, "b": None, "border": k, "place": place, "row": row} for k, row in enumerate((first, last.to_pylist()[0]))], schema=kinds)
 
     ordered = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
-    out = common.checkpointed(ordered.mapInArrow(neighbours, schema))
+    out = ordered.mapInArrow(neighbours, schema).persist()
     edge = sorted(out.where("border IS NOT NULL").select("place", "border", "row").collect(), key=lambda r: (r["place"], r["border"]))  # two rows a task
     across = []
     for x, y in zip(edge[1::2], edge[2::2], strict=False):
         p, q = x["row"], y["row"]
         if p["group"] == q["group"] and p["class"] != q["class"] and min(p["n"], q["n"]) >= max(p["n"], q["n"]) * alike:
             across.append((min(p["key"], q["key"]), max(p["key"], q["key"])))
-    return out.where("border IS NULL").select("a", "b").unionByName(rows.sparkSession.createDataFrame(across, "a binary, b binary"))
+    return out.where("border IS NULL").select("a", "b").unionByName(rows.sparkSession.createDataFrame(across, "a binary, b binary")), out
 
 
 def distinct_texts(docs: DataFrame, tasks: int) -> DataFrame:
@@ -307,7 +305,7 @@ def near_links(docs: DataFrame, texts: DataFrame, alike: float, tasks: int) -> D
     member = texts.select("key", "n", "buckets", F.posexplode("buckets").alias("place", "bucket"))
     member = member.select("key", "n", "bucket", (place < FIRST).alias("early"), F.element_at("buckets", (place + BANDS // 2) % F.size("buckets") + 1).alias("finer"))
     shared = texts.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    member = common.checkpointed(member.join(shared, "bucket"), tasks)
+    member = common.checkpointed(member.join(common.apart(shared, "bucket"), "bucket"), tasks)
     wanted = texts.select("key", "doc_id").join(member.select("key").distinct(), "key", "left_semi")
     words = common.checkpointed(texts_of(docs, wanted), tasks)
 
@@ -315,9 +313,12 @@ def near_links(docs: DataFrame, texts: DataFrame, alike: float, tasks: int) -> D
     classes = connected_components(links)
 
     rows = member.join(classes, member["key"] == classes["node"], "left").select("key", "n", F.col("bucket").alias("group"), "finer", F.coalesce("root", "key").alias("class"))
-    rows = common.checkpointed(rows, tasks)
-    new = verified(around_centres(rows, alike).unionByName(beside(rows, alike, tasks)), words, alike, tasks)
-    return common.checkpointed(links.unionByName(new).dropDuplicates(["u", "v"]), tasks)
+    rows = rows.persist()
+    near, kept = beside(rows, alike, tasks)
+    new = verified(around_centres(rows, alike).unionByName(near), words, alike, tasks)
+    for done in (kept, rows):
+        done.unpersist()
+    return links.unionByName(new)
 
 
 def near_classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
@@ -338,7 +339,7 @@ def near_classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     texts = common.checkpointed(texts, tasks)
     ids = texts.where(F.col("root") != F.col("key")).groupBy("root").agg(F.min("doc_id").alias("other"))
     roots = texts.where(F.col("root") == F.col("key")).join(ids, "root", "left").select("root", F.least("doc_id", "other").alias("class_id"))
-    texts = common.checkpointed(texts.join(roots, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies")), tasks)
+    texts = texts.join(roots, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
     return docs.select("doc_id", common.text_key().alias("key")).join(texts, "key").select("doc_id", "key", "class_id", "n_links", "n_copies")
 
 
@@ -348,16 +349,15 @@ def keep_one(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     Of a class without any id the row with the least text key stays. Rows equal in id and text are one.
     """
     own = common.OWN
-    classes = near_classes(docs, alike)
-    group = F.struct(F.col("class_id").isNull(), F.col("class_id"), F.when(F.col("class_id").isNull(), F.col("key")))
-    best = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(group.alias("g")).agg(F.min("key").alias(f"{own}key"), F.min("doc_id").alias(f"{own}id"))
     tasks = common.tasks_for(docs.sparkSession, common.input_rows(docs), TEXTS_A_TASK)
-    best = common.checkpointed(best.drop("g"), tasks)  # nearly as many as there are documents, so it is joined by a shuffle at every size
-    rows = docs.withColumn(f"{own}k", common.text_key())
-    rows = rows.join(best, F.col(f"{own}k").eqNullSafe(F.col(f"{own}key")) & rows["doc_id"].eqNullSafe(F.col(f"{own}id")), "left_semi")
-    repeats = common.checkpointed(classes.groupBy("key", "doc_id").count().where("count > 1").select(F.col("key").alias(f"{own}key"), F.col("doc_id").alias(f"{own}id")), tasks)
-    if repeats.isEmpty():
-        return rows.select(*docs.columns)
-    again = F.col(f"{own}k").eqNullSafe(F.col(f"{own}key")) & rows["doc_id"].eqNullSafe(F.col(f"{own}id"))
-    once = rows.join(repeats, again, "left_semi").dropDuplicates([f"{own}k", "doc_id"])
-    return rows.join(repeats, again, "left_anti").unionByName(once).select(*docs.columns)
+    rows = near_classes(docs, alike).groupBy("class_id", "key", "doc_id").agg(F.count("*").alias("times")).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    group = F.struct(F.col("class_id").isNull(), F.col("class_id"), F.when(F.col("class_id").isNull(), F.col("key")))
+    best = rows.groupBy(group.alias("g")).agg(F.min(F.struct("key", "doc_id", "times")).alias("b"))
+    # nearly as many as there are documents, so they are joined by a shuffle at every size
+    best = common.checkpointed(best.select(F.col("b.key").alias(f"{own}key"), F.col("b.doc_id").alias(f"{own}id"), F.col("b.times").alias(f"{own}times")), tasks)
+    texts = docs.withColumn(f"{own}k", common.text_key())
+    kept = texts.join(best.hint("shuffle_merge"), F.col(f"{own}k").eqNullSafe(F.col(f"{own}key")) & texts["doc_id"].eqNullSafe(F.col(f"{own}id")))
+    again = F.col(f"{own}times") > 1
+    if best.where(again).isEmpty():
+        return kept.select(*docs.columns)
+    return kept.where(~again).unionByName(kept.where(again).dropDuplicates([f"{own}k", "doc_id"])).select(*docs.columns)
