@@ -168,8 +168,8 @@ def refs(chunks: DataFrame) -> DataFrame:
 
 def reused_prefix(chunks: Column, size: Column) -> Column:
     """Of a file's former chunks those that end within its new size, up to the first that doesn't."""
-    first = F.array_min(F.transform(F.filter(chunks, lambda c: c["offset"] + c["len"] > size), lambda c: c["offset"]))
-    return F.filter(chunks, lambda c: (c["offset"] + c["len"] <= size) & F.coalesce(c["offset"] < first, F.lit(True)))
+    beyond = F.array_position(F.transform(chunks, lambda c: c["offset"] + c["len"] <= size), False)
+    return F.when(beyond == 0, chunks).otherwise(F.slice(chunks, F.lit(1), F.greatest(beyond - 1, F.lit(0)).cast("int")))
 
 
 def resume_offset(chunks: Column, size: Column) -> Column:
