@@ -15,7 +15,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encoded(common.table(spark, sf_dir, "documents")).drop("ids")
+    return sentence_pieces.encoded(common.table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

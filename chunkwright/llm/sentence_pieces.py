@@ -315,21 +315,21 @@ def encoded_chunks(docs: DataFrame, path: str | None = None, chunk: int = CHUNK)
     return common.map_rows(cut.join(borders, ["row", "chunk"]).select("doc_id", "row", "copies", "chunk", "low", "high", "part", "a", "b", "c", "d"), traced, "doc_id long, row string, copies long, chunk int, n_chars long, round_trip boolean, ids array<int>")
 
 
-def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, with_ids: bool = True) -> DataFrame:
     """``doc_id``, ``n_chars``, ``n_tokens``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit numbers), ``round_trip``
-    (the ids decode to the text) and ``ids`` (array) for each row.
+    (the ids decode to the text) and, ``with_ids``, ``ids`` (array) for each row.
 
     A null or empty text has no ids. Repeated rows give repeated results; of giant documents equal in id and text one is
     encoded and given back as often as they come. An empty table gives no rows.
     """
     path = path or default_vocabulary()
-    schema = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean, ids array<int>"
+    schema = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def whole(batch: list) -> Iterable[tuple]:
         vocab = vocabulary(path)
         for doc_id, text in batch:
             ids = vocab.library.encode(text)
-            yield doc_id, len(text), len(ids), zlib.crc32(packed_ids(ids)), decode(vocab, ids) == text, ids
+            yield doc_id, len(text), len(ids), zlib.crc32(packed_ids(ids)), decode(vocab, ids) == text, *[ids] * with_ids
 
     texts = docs.select("doc_id", common.text_of().alias("text"))
     short = common.map_rows(texts.where(F.char_length("text") < chunk), whole, schema)
@@ -337,7 +337,7 @@ def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Dat
     def joined(batch: list) -> Iterable[tuple]:
         for doc_id, copies, n_chars, round_trip, parts in batch:
             ids = [i for p in sorted(parts, key=lambda p: p["chunk"]) for i in p["ids"]]
-            yield copies, doc_id, n_chars, len(ids), zlib.crc32(packed_ids(ids)), round_trip, ids
+            yield copies, doc_id, n_chars, len(ids), zlib.crc32(packed_ids(ids)), round_trip, *[ids] * with_ids
 
     chunks = encoded_chunks(docs, path, chunk)
     giants = chunks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.sum("n_chars").alias("n_chars"), F.bool_and("round_trip").alias("round_trip"), F.collect_list(F.struct("chunk", "ids")).alias("parts"))

@@ -2,7 +2,8 @@
 
 Vectors are dealt to a grid of (candidate block, query block) cells. In a cell the candidates lie dimension by
 dimension. Scores grow one block of dimensions at a time; a candidate whose score so far plus the most
-that the remaining mass can add (Cauchy-Schwarz) is below the query's k-th best is compacted away.
+that the remaining mass can add (Cauchy-Schwarz) is below the query's k-th best is compacted away. Each query comes with a bound from the
+longest vectors of all, so a cell that can't reach it does nothing, and no cell returns what can't be among the best.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ K = 20
 CANDIDATES, QUERIES = 16_384, 2_048
 #: Dimensions in one step.
 BLOCK = 16
+#: Longest vectors that give each query its first bound, for each result asked for.
+SEEDS = 4
 #: Up to this magnitude sums of products are whole numbers that a double holds exactly, for up to 512 dimensions.
 EXACT = 1 << 22
 #: Scaled components are below this.
@@ -44,8 +47,8 @@ def whole_numbers(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     return rows.select("vec_id", F.transform("embedding", whole).alias("v"))
 
 
-def search(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query (candidates' ids, scores) of its k best by (score descending, id ascending)."""
+def search(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, bounds: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query (candidates' ids, scores) of its k best by (score descending, id ascending), but those below its bound."""
     if not len(ids) or not len(q):
         yield from ((ids[:0], ids[:0]) for _ in q)
         return
@@ -65,9 +68,13 @@ def search(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> Iterator[tu
     query_mass = np.sqrt(np.array([np.square(q[:, s:]).sum(1) for s in starts]).reshape(-1, len(q)))
     seeds = np.argsort(-mass[0], kind="stable")[: 4 * k] if len(mass) else np.arange(0)
     for at, row in enumerate(q):
-        score, alive, least = np.zeros(len(ids)), None, -np.inf
+        bound = -np.inf if bounds is None else bounds[at]
+        score, alive, least = np.zeros(len(ids)), None, bound
+        if len(mass) and query_mass[0, at] * mass[0].max() < least - 1e-3 - 1e-12 * abs(least):
+            yield ids[:0], ids[:0]
+            continue
         if len(ids) > 8 * k and len(seeds) > k:
-            least = np.partition(row @ dims[:, seeds], -k)[-k]
+            least = max(least, np.partition(row @ dims[:, seeds], -k)[-k])
         for b, s in enumerate(starts):
             part = dims[s : s + BLOCK] if alive is None else dims[s : s + BLOCK, alive]
             score = score + row[s : s + BLOCK] @ part
@@ -80,6 +87,8 @@ def search(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> Iterator[tu
                     if len(alive) > k and b:  # what has survived raises the bar: lower bounds of the same masses
                         least = max(least, np.partition(score - rest[keep], -k)[-k])
         found = np.arange(len(ids)) if alive is None else alive
+        if bound > -np.inf:
+            found, score = found[score >= bound], score[score >= bound]
         if len(found) > k:
             bar = np.partition(score, -k)[-k]
             found, score = found[score >= bar], score[score >= bar]
@@ -87,6 +96,25 @@ def search(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> Iterator[tu
         yield ids[found[best]], score[best].astype(np.int64)
 
 
+def first_bounds(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``queries`` (``vec_id``, ``query``, ``v``, ``times``) with ``bound``: the k-th best score among the longest candidates, a few for each result asked for.
+
+    Null where there are too few, or where doubles don't hold the scores exactly."""
+    length = F.aggregate("v", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    longest = [r["v"] for r in candidates.select(F.col("v").cast("array<double>").alias("v"), length.alias("n")).orderBy(F.desc("n")).limit(SEEDS * k).collect()]
+    size = max(map(len, longest), default=0)
+    seeds = np.array([[*v, *[0.0] * (size - len(v))] for v in longest], np.float64).reshape(len(longest), size)
+    good = len(seeds) >= k and np.abs(seeds).max(initial=0) <= EXACT
+
+    def rows(batch: list) -> Iterator[tuple]:
+        for vec_id, query, v, times in batch:
+            own = np.array(v)[:size]
+            exact = good and np.abs(own).max(initial=0) <= EXACT
+            yield vec_id, query, v, times, float(np.partition(seeds[:, : len(own)] @ own, -k)[-k]) if exact else None
+
+    return common.map_rows(queries.select("vec_id", "query", F.col("v").cast("array<double>").alias("v"), "times"), rows, "vec_id long, query long, v array<double>, times long, bound double")
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, own_too: bool = False) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` of each query's ``k`` best candidates, without the query's own row unless ``own_too``.
 
@@ -99,8 +127,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, own_too: bool =
     blocks = 1 + common.input_rows(candidates) // CANDIDATES, 1 + common.input_rows(queries) // QUERIES
     vector, query = F.col("v").cast("array<double>"), F.xxhash64("v")
     asked = queries.groupBy("vec_id", query.alias("query")).agg(F.first("v").alias("v"), F.count("*").alias("times"))
-    left = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[0])).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("q"), F.lit(None).cast("long").alias("query"), "vec_id", vector.alias("v"))
-    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[0] - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[1])).cast("int").alias("q"), "query", "vec_id", vector.alias("v"))
+    asked = first_bounds(candidates, asked, k + 1 - own_too)
+    left = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[0])).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("q"), F.lit(None).cast("long").alias("query"), "vec_id", vector.alias("v"), F.lit(None).cast("double").alias("bound"))
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[0] - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[1])).cast("int").alias("q"), "query", "vec_id", "v", "bound")
     cells = left.unionByName(right).groupBy("c", "q")
 
     def run(cell: pa.Table) -> pa.Table:
@@ -110,7 +139,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, own_too: bool =
         lengths, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy(zero_copy_only=False)
         x = np.zeros((len(ids), lengths.max(initial=0)))
         x[np.arange(x.shape[1]) < lengths[:, None]] = flat
-        out = list(search(ids[~asks], x[~asks], x[asks], k + 1 - own_too))
+        bounds = np.array([-np.inf if b is None else b for b in cell.column("bound").to_pylist()])[asks]
+        out = list(search(ids[~asks], x[~asks], x[asks], k + 1 - own_too, bounds))
         counts, numbers = [len(got) for got, _ in out], [q for q in cell.column("query").to_pylist() if q is not None]
         selves = [sum(int(c) * int(c) for c in row) if not own_too else 0 for row in x[asks]]
         return pa.table(

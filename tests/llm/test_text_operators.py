@@ -570,6 +570,8 @@ def test_encoded_tables(spark) -> None:
     got = sentence_pieces.encoded(docs(spark, rows).withColumn("ids", F.lit("clash")), chunk=1000).collect()
     assert sorted({(r["doc_id"] or -1, tuple(r["ids"])) for r in got}) == sorted({(i or -1, tuple(vocab.library.encode(t or ""))) for i, t in rows})
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
+    without = sentence_pieces.encoded(docs(spark, rows), chunk=1000, with_ids=False)
+    assert sorted(map(str, without.collect())) == sorted(str(r) for r in spark.createDataFrame(got).drop("ids").collect())
     assert sentence_pieces.encoded(docs(spark, [])).count() == 0
 
 
