@@ -66,20 +66,24 @@ def features(text: str) -> np.ndarray | None:
     return counts / np.linalg.norm(counts)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 10.0) -> np.ndarray:
-    """Weights (last one: bias) of a linear SVM with squared hinge loss, by dual coordinate descent over fixed orders."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(7)
+def train_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 10.0) -> np.ndarray:
+    """Weights (last one: bias) of a linear SVM with squared hinge loss, by dual coordinate descent over fixed orders.
+
+    ``rows`` are the numbers of the rows of ``x`` that it learns from, ``y`` their signs; nothing of ``x`` is copied."""
+    w, bias, alpha, rng = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows)), np.random.default_rng(7)
     weight = np.where(y > 0, len(y) / (2.0 * max(1, (y > 0).sum())), len(y) / (2.0 * max(1, (y < 0).sum())))
     diagonal = 0.5 / (c * weight)
-    norms = (x * x).sum(1) + diagonal
+    norms = np.array([float(x[r] @ x[r]) for r in rows]) + 1.0 + diagonal
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            step = (y[i] * (x[i] @ w) - 1 + diagonal[i] * alpha[i]) / norms[i]
+        for i in rng.permutation(len(rows)):
+            own = x[rows[i]].astype(np.float64)
+            step = (y[i] * (own @ w + bias) - 1 + diagonal[i] * alpha[i]) / norms[i]
             new = max(0.0, alpha[i] - step)
-            w += (new - alpha[i]) * y[i] * x[i]
+            change = (new - alpha[i]) * y[i]
+            w += change * own
+            bias += change
             alpha[i] = new
-    return w
+    return np.append(w, bias)
 
 
 def _probability(margin: np.ndarray) -> np.ndarray:
@@ -125,15 +129,16 @@ class Model:
 
 
 def one_versus_rest(x: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
-    return np.array([train_svm(x, np.where(labels == name, 1.0, -1.0)) for name in names]) if len(names) > 1 else np.zeros((1, x.shape[1] + 1))
+    rows = np.arange(len(x))
+    return np.array([train_svm(x, rows, np.where(labels == name, 1.0, -1.0)) for name in names]) if len(names) > 1 else np.zeros((1, x.shape[1] + 1))
 
 
 def one_versus_one(x: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     """A machine for each two of ``names``, trained on their rows alone; the first of the two is the positive one."""
     out = []
     for a, b in itertools.combinations(names, 2):
-        own = (labels == a) | (labels == b)
-        out.append(train_svm(x[own], np.where(labels[own] == a, 1.0, -1.0)))
+        own = np.flatnonzero((labels == a) | (labels == b))
+        out.append(train_svm(x, own, np.where(labels[own] == a, 1.0, -1.0)))
     return np.array(out).reshape(-1, x.shape[1] + 1)
 
 
@@ -169,12 +174,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
         return Model((), np.zeros((0, FEATURES + 1)), {})
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got]).astype(np.float64)
     labels = np.array([r["lang"] for r in got], dtype=object)
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), FEATURES)
+    del got
     kin = np.array([family_of(lang) for lang in labels], dtype=object)
     families = tuple(sorted(set(kin)))
     langs = {f: tuple(sorted(set(labels[kin == f]))) for f in families}
-    return Model(families, one_versus_rest(x, kin, families), {f: (names, one_versus_one(x[kin == f], labels[kin == f], names)) for f, names in langs.items()})
+    return Model(families, one_versus_rest(x, kin, families), {f: (names, one_versus_one(x, labels, names)) for f, names in langs.items()})
 
 
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
