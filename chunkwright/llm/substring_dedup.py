@@ -127,11 +127,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     held, tasks = chunks(docs), common.tasks_for(docs.sparkSession, common.input_rows(docs))
     known = held.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unknown"))
     known = known.where((F.col("first") < F.col("last")) | F.col("unknown") & F.col("first").isNotNull()).select("high", "low", F.when(~F.col("unknown"), F.col("first")).alias("first"))
-    known = common.checkpointed(known, tasks)  # so that a join with it can split a chunk that very many documents have
-    hits = common.checkpointed(held.join(known, ["high", "low"]), tasks)
+    hits = common.checkpointed(held.join(common.apart(known, "high"), ["high", "low"]), tasks)
     origin = hits.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("high", "low").agg(F.min(F.struct("row", "place")).alias("o"))
     origin = origin.select("high", "low", F.col("o.row").alias("of_row"), F.col("o.place").alias("at"))
-    again = hits.where(_later()).join(common.checkpointed(origin, tasks), ["high", "low"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "first", "of_row", "at")).alias("chunks"))
+    again = hits.where(_later()).join(common.apart(origin, "high"), ["high", "low"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "first", "of_row", "at")).alias("chunks"))
 
     def joined(batch: list) -> Iterable[tuple]:
         for doc_id, row, parts in batch:
